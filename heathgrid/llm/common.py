@@ -21,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it from there from now on."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; sets one only where none is named, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/heathgrid-checkpoints")  # no cluster has named one: tests
+        context.setCheckpointDir("/tmp/heathgrid-checkpoints")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it from there from now on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.llm import quality_rules, simhash
-from heathgrid.llm.common import table
+from heathgrid.llm import byte_bpe, quality_rules, simhash, token_files
+from heathgrid.llm.common import shared_folder, table
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The first id that the vocabulary leaves free.
+END_OF_DOCUMENT = 50_256
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +24,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_files.count_documents(docs, shared_folder(spark), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, END_OF_DOCUMENT).select("doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_quality_rules)}
+    return {f.__name__: f for f in (op4_simhash, op5_quality_rules, op9_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
