@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.llm import byte_bpe, quality_rules, simhash, token_files
+from heathgrid.llm import byte_bpe, license_scan, quality_classifier, quality_rules, simhash, token_files
 from heathgrid.llm.common import shared_folder, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,18 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END_OF_DOCUMENT = 50_256
 
 
+def remainder(n: int) -> Column:
+    """Of a document's fold."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels, "quality", remainder(5) != 0)
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.group(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
@@ -24,6 +36,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_quality_rules, op9_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_simhash, op5_quality_rules, op8_license_scan, op9_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
