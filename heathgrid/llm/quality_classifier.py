@@ -1,7 +1,7 @@
 """A supervised classifier of texts on subword embeddings.
 
 Each white-space word, each pair of neighbouring words and each run of 3 and 4 bytes hashes to a learned vector. A document's vector is
-the mean of them all, and a softmax over its products with two learned class vectors gives the score.
+the mean of them all, kind by kind, and a softmax over its products with two learned class vectors gives the score.
 Vectors and classes are trained together by stochastic gradient descent in numpy.
 
 The softmax reads a document's vector only through the difference of the class vectors. Scoring
@@ -32,9 +32,12 @@ from heathgrid.llm.common import bytes_of, slices
 WORD_BITS, PAIR_BITS, GRAM_BITS, SIZES, WIDTH = 16, 15, 15, (3, 4), 10
 #: Buckets of words and n-grams; those of pairs of words follow.
 GRAMS = (1 << WORD_BITS) + (len(SIZES) << GRAM_BITS)
+#: Words, pairs and each size of n-gram: a text's vector is the mean of the kinds' means, as else the many n-grams would drown the rest.
+KINDS = 2 + len(SIZES)
 #: The most labelled rows that training reads.
 SAMPLE = 4000
-PASSES, RATE = 6, 2.0
+#: Training goes over the sample so many times at least, and more often over a small one, up to so many steps.
+PASSES, STEPS, RATE = 5, 10_000, 2.0
 
 
 def buckets(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -66,12 +69,11 @@ class Model:
     bias: float
 
     def score(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        total = np.zeros(len(offsets) - 1)
         for places, found in buckets(flat, offsets):
             sums, count = per_text(self.weights[found], places, offsets)
-            total += sums
-            n += count
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
+            total += sums / np.maximum(count, 1)
+        return 1 / (1 + np.exp(-np.clip(total / KINDS + self.bias, -30, 30)))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
@@ -87,11 +89,12 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     docs = []
     for text in texts:
         flat, offsets = np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())])
-        found, count = np.unique(np.concatenate([x for _, x in buckets(flat, offsets)]), return_counts=True)
-        docs.append((found.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
+        kinds = [np.unique(x, return_counts=True) for _, x in buckets(flat, offsets)]
+        docs.append((np.concatenate([x for x, _ in kinds]), np.concatenate([n / max(1, n.sum()) / KINDS for _, n in kinds]).astype(np.float32)))
     weight = len(y) / (2 * np.bincount(y, minlength=2))  # the rarer class counts as much as the other
-    for turn in range(PASSES):
-        rate = RATE * (1 - turn / PASSES)
+    passes = max(PASSES, STEPS // len(docs))
+    for turn in range(passes):
+        rate = RATE * (1 - turn / passes)
         for i in rng.permutation(len(docs)):
             found, share = docs[i]
             mean = share @ vectors[found]

@@ -49,7 +49,7 @@ def test_scan(documents):
     docs = documents(*texts, (5, "nothing here", None, None)).withColumn("labels", F.lit("clash"))
     found = {r.doc_id: r for r in s.scan(docs).collect()}
     assert s.scan(docs).count() == 8
-    assert (found[0].n_words, found[0].n_base, found[0].first_word, found[0].base_labels, found[0].score) == (15, 1, 9, "gpl", 1.0)
+    assert (found[0].n_words, found[0].n_base, found[0].first_word, found[0].base_labels, found[0].score) == (14, 1, 9, "gpl", 1.0)
     assert "gpl-3.0" in found[0].labels.split(",")
     assert (found[1].n_base, found[1].first_word, found[1].last_word, found[1].base_labels, found[1].labels) == (2, 5, 8, "reserved", "mit,reserved")
     for i in (2, 3):
