@@ -74,27 +74,35 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, label), label the smallest node reachable.
-
-    Minimum labels spread along the edges and each round also jumps to the label's own label, so the
-    rounds grow with the logarithm of a component's diameter. All state stays in checkpointed tables;
-    grouped minima combine before the shuffle and the joins are ordinary equi-joins that AQE may split,
-    so a hub node doesn't land in one task. An empty table gives an empty table.
+    """Connected components of edges (a, b): one row (node, label); label is one node of the component, the same for all.
+
+    Each round points every node at the neighbour, or itself, that comes first in the round's own hash
+    order, follows that pointer once more, and contracts the edges to the nodes pointed at. Edges inside a
+    contracted group go, so a dense group is gone after a round and a long chain shrinks by a constant
+    factor whatever the order of its nodes. All state stays in checkpointed tables; minima combine before
+    the shuffle and the joins are equi-joins that AQE may split, so a hub node doesn't land in one task.
+    An empty table gives an empty table.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        spread = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = cut(
-            spread.join(roots, "label", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label"))
-        )
-        changed = new.where("label != was").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    loops = edges.where("a = b").select(F.col("a").alias("node"))
+    steps, turn = [], 0
+    while left.limit(1).count():
+        near = left.select("a", "b").union(left.select("b", "a"))
+        best = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        first = near.groupBy(F.col("a").alias("node")).agg(F.min(best("b")).alias("m")).select("node", F.least("m", F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("to")))["to"].alias("to"))
+        first = cut(first)
+        then = first.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        step = cut(first.join(then, "to").select("node", F.col("root").alias("label")))
+        steps.append(step)
+        at = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_root"))  # noqa: B023, E731
+        roots = left.join(at("a"), "a").join(at("b"), "b").where("a_root != b_root")
+        left = cut(roots.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        turn += 1
+    if not steps:
+        return loops.distinct().select("node", F.col("node").alias("label"))
+    labels = steps[0]
+    for step in steps[1:]:
+        further = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        labels = labels.join(further, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    alone = loops.distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return cut(labels.union(alone))
