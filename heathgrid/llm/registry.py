@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.llm import byte_bpe, decontaminate, license_scan, quality_classifier, quality_rules, simhash, token_files, toxicity
+from heathgrid.llm import byte_bpe, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, simhash, token_files, toxicity
 from heathgrid.llm.common import shared_folder, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.group(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
@@ -64,8 +68,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op4_simhash, op5_quality_rules, op6_toxicity, op8_license_scan, op9_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op3_line_dedup, op4_simhash, op5_quality_rules, op6_toxicity, op8_license_scan, op9_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
