@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Shuffle files of the work up to here go when the driver collects its garbage, so it's told to."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(at)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

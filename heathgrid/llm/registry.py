@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.llm import byte_bpe, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, simhash, token_files, toxicity
+from heathgrid.llm import byte_bpe, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, toxicity
 from heathgrid.llm.common import shared_folder, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -50,6 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.strip(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op3_line_dedup, op4_simhash, op5_quality_rules, op6_toxicity, op8_license_scan, op9_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op3_line_dedup, op4_simhash, op5_quality_rules, op6_toxicity, op7_suffix_dedup, op8_license_scan, op9_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
