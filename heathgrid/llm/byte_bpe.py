@@ -254,3 +254,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_and_check(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """keep, ids and round_trip: whether the ids decode to the bytes of the row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, pattern)
+        for batch in slices(batches):
+            texts = texts_of(batch)
+            ids = own.encode_all(texts)
+            same = [own.decode(x) == y.encode() for x, y in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"])
+
+    kinds = dict(docs.dtypes)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", ids binary, round_trip boolean")
