@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. Shuffle files of the work up to here go when the driver collects its garbage, so it's told to."""
+def written(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """df as a table in the shared folder.
+
+    Shuffle files of the work up to here go when the driver collects its garbage, so it's told to. They
+    can't go while the caller still holds the DataFrame that was written: a function that makes it lets go.
+    """
+    df = df() if callable(df) else df
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(2):  # the first makes Python let go of the JVM's objects, which it does in its own time
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(at)
 
 

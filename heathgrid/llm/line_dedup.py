@@ -7,14 +7,13 @@ edit distance MOST_EDITS.
 
 The edit join: every distinct line is cut into MOST_EDITS + 1 segments, by its length alone. If two
 lines are within the distance, some segment of the shorter one stands unchanged in the longer one, near
-its own place. Segments are indexed under the line's length, the segment's number and its characters;
-every line probes the lengths from its own down to MOST_EDITS less, with only those of its substrings
-that can be such a segment. Candidates must also agree closely in how often they have some common
+its own place. Each line is filed under keys of length, segment number and characters: for its own segments,
+and for those of its substrings that can be a segment of a line up to MOST_EDITS shorter. Candidates must also agree closely in how often they have some common
 characters. The last word has a banded bit-parallel edit distance: a bit for each diagonal within the
 distance, moved on by one line character at a time for each number of edits.
 
 Equal lines become one row before anything else, so a line that a third of all texts share costs one
-row. The keys that leave that step are (doc_id, line number), which no hot value can pile up. Texts are
+row. Lines that share no key with another go no further than their keys. The keys that leave that step are (doc_id, line number), which no hot value can pile up. Texts are
 shuffled by doc_id once, and rewritten from the numbers of the lines that stay.
 
 Defined cases: a null text stays null and has no lines; an empty text stays empty; rows with the
@@ -23,80 +22,90 @@ same doc_id share the numbers of the lines that stay, so repeated rows stay alik
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heathgrid.llm.common import written
+
 MOST_EDITS = 2
 LEAST_CHARS = 32
 #: Characters whose numbers candidates compare.
-COUNTED = "etani ,"
+COUNTED = ("etaoinsrhdlucm", "pfgwybvkqxjz ,")
+
+
+#: SQL of a string of the six white-space characters.
+WHITE = "' \\t\\n\\u000b\\f\\r'"
 
 
 def exploded(docs: DataFrame) -> DataFrame:
     """doc, at, line of every line with a character other than white space."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.where(f"trim(both {WHITE} from line) != ''")
 
 
 def firsts(docs: DataFrame) -> DataFrame:
     """doc, at of every distinct line's first place. Lines are told apart by two 64-bit hashes and their length."""
-    keyed = exploded(docs).select("doc", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("i"), F.length("line").alias("n"))
+    keyed = exploded(docs).select("doc", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("i"), F.octet_length("line").alias("n"))
     return keyed.groupBy("h", "i", "n").agg(F.min(F.struct("doc", "at")).alias("m")).select("m.doc", "m.at")
 
 
-def chosen(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc, at, line of the places (doc, at)."""
-    wanted = places.groupBy(F.col("doc").alias("its_doc")).agg(F.collect_set("at").alias("ats"))
-    lined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("its_doc"))).withColumn("lines", F.split("text", "\n"))
-    rows = lined.select(F.col("doc_id").alias("doc"), F.explode(F.expr("transform(ats, a -> named_struct('at', a, 'line', get(lines, a)))")).alias("x"))
-    return rows.select("doc", "x.at", "x.line").where("line is not null")
+def with_small(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
+    """docs joined by doc_id to small, which has a row of a few numbers for each its_doc: hashed, so that texts needn't be sorted."""
+    return docs.join(small.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("its_doc")), how)
 
 
-def segment(number: int, length: str) -> tuple[str, str]:
-    """SQL of the 1-based start and of the length of a segment of a line: the last ones are longer by one where needed."""
-    parts = MOST_EDITS + 1
-    short, longer = f"({length} div {parts})", f"({length} % {parts})"
-    extra = f"greatest(0, {number - 1} - ({parts} - {longer}))"
-    return f"(1 + {number - 1} * {short} + {extra})", f"({short} + if({number} > {parts} - {longer}, 1, 0))"
-
-
-def index_keys() -> str:
-    """SQL array of the keys of a line's own segments."""
-    keys = []
-    for i in range(1, MOST_EDITS + 2):
-        start, size = segment(i, "n")
-        keys.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
-    return f"array({', '.join(keys)})"
+def chosen(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc, at, line, n (characters) of the places (doc, at)."""
+    wanted = places.groupBy(F.col("doc").alias("its_doc")).agg(F.collect_set("at").alias("ats"))
+    lined = with_small(docs.select("doc_id", "text"), wanted, "inner")
+    # zipped before it's taken apart: an expression inside a lambda would be worked out for each line anew
+    pairs = F.arrays_zip(F.split("text", "\n").alias("line"), F.expr(flags("split(text, '\\n')", "ats")).alias("flag"))
+    rows = lined.select(F.col("doc_id").alias("doc"), F.posexplode(pairs).alias("at", "x")).where("x.flag = '1'")
+    return rows.select("doc", "at", F.expr("explode(array(named_struct('line', x.line, 'n', char_length(x.line))))").alias("y")).select("doc", "at", "y.line", "y.n")
 
 
-def probe_keys() -> str:
-    """SQL array of the keys under which a line within the distance, and no longer than this one, may be indexed."""
-    keys = []
+def shifts() -> list[tuple[int, int, int]]:
+    """(less, number, shift): where, off its own place, segment `number` of a line shorter by `less` can stand unchanged in a line within the distance."""
+    found = []
     for less in range(MOST_EDITS + 1):
         for i in range(1, MOST_EDITS + 2):
-            start, size = segment(i, f"(n - {less})")
             left = i - 1  # edits that can lie before the segment, if no earlier segment is unchanged
             right = MOST_EDITS + 1 - i
-            for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                at = f"({start} + {shift})"
-                fits = f"{at} >= 1 and {at} + {size} - 1 <= n and n - {less} >= {LEAST_CHARS}"
-                keys.append(f"if({fits}, xxhash64(n - {less}, {i}, substring(line, {at}, {size})), null)")
-    return f"array_distinct(filter(array({', '.join(keys)}), k -> k is not null))"
+            found += [(less, i, k) for k in range(max(-left, less - right), min(left, less + right) + 1)]
+    return found
+
 
+def keys() -> str:
+    """SQL array of the keys of a line of n characters: of its own segments, and of every segment of a line within the distance and no longer that can stand in it. NULL where there is none.
 
-def counts() -> Column:
-    """How often a line has each of COUNTED, a byte each, up to 127."""
-    each = (F.least(F.length("line") - F.length(F.replace("line", F.lit(c))), F.lit(127)).cast("long") for c in COUNTED)
+    A lambda over a constant list: twelve such expressions in a row would make a method too long for
+    the JVM to compile.
+    """
+    parts = MOST_EDITS + 1
+    cases = ", ".join(f"named_struct('less', {a}, 'i', {i}, 'shift', {k})" for a, i, k in shifts())
+    # the last segments are longer by one where needed
+    extra = f"({parts} - (n - s.less) % {parts})"
+    start = f"(1 + (s.i - 1) * ((n - s.less) div {parts}) + greatest(0, s.i - 1 - {extra}) + s.shift)"
+    size = f"((n - s.less) div {parts} + if(s.i > {extra}, 1, 0))"
+    # characters of a line of ASCII are found by their number, others by counting from the line's start
+    piece = f"if(octet_length(line) = n, substring(cast(line as binary), int({start}), int({size})), cast(substring(line, int({start}), int({size})) as binary))"
+    fits = f"n - s.less >= {LEAST_CHARS} and {start} >= 1 and {start} + {size} - 1 <= n"
+    return f"transform(array({cases}), s -> if({fits}, xxhash64(n - s.less, s.i, {piece}), null))"
+
+
+def counts(letters: str) -> Column:
+    """How often a line has each of some characters, modulo 16, in four bits each."""
     packed = F.lit(0).cast("long")
-    for x in each:
-        packed = packed * 256 + x
+    for c in letters:
+        times = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))
+        packed = packed * 16 + times.cast("long").bitwiseAND(F.lit(15).cast("long"))
     return packed
 
 
 def near_counts(a: str, b: str) -> str:
     """SQL: an edit changes the numbers of two characters at most, by one each."""
-    byte = lambda x, k: f"(shiftright({x}, {8 * k}) & 255)"
-    return f"{' + '.join(f'abs({byte(a, k)} - {byte(b, k)})' for k in range(len(COUNTED)))} <= {2 * MOST_EDITS}"
+    apart = (f"(shiftright({a}.{c}, {4 * k}) - shiftright({b}.{c}, {4 * k})) & 15" for c, x in (("c1", COUNTED[0]), ("c2", COUNTED[1])) for k in range(len(x)))
+    return f"{' + '.join(f'least({x}, 16 - ({x}))' for x in apart)} <= {2 * MOST_EDITS}"
 
 
 def within(a: str, b: str) -> str:
@@ -122,36 +131,39 @@ def within(a: str, b: str) -> str:
     return f"aggregate(array(named_struct('a', {letters(a)}, 'b', {letters(b)})), false, (z, p) -> {walk})"
 
 
-def near_pairs(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, at, earlier_doc, earlier_at): pairs of different lines, given by first places, within the distance."""
-    lines = chosen(docs, places).withColumn("n", F.char_length("line")).where(f"n >= {LEAST_CHARS}")
-    keyed = lines.select("doc", "at", "n", counts().alias("c"), F.expr(index_keys()).alias("own"), F.expr(probe_keys()).alias("asked"))
-    index = keyed.select(F.explode("own").alias("key"), "doc", "at", "n", "c").alias("i")
-    probe = keyed.select(F.explode("asked").alias("key"), "doc", "at", "n", "c").alias("p")
-    earlier = "struct(i.doc, i.at) < struct(p.doc, p.at)"
-    met = index.join(
-        probe,
-        F.expr(f"i.key = p.key and i.n <= p.n and p.n - i.n <= {MOST_EDITS} and not (i.doc <=> p.doc and i.at = p.at) and (i.n < p.n or {earlier}) and {near_counts('i.c', 'p.c')}"),
-    )
-    first, second = F.expr("struct(i.doc as doc, i.at as at)"), F.expr("struct(p.doc as doc, p.at as at)")
-    pairs = met.select(F.greatest(first, second).alias("later"), F.least(first, second).alias("sooner")).distinct()
-    wanted = pairs.select(F.explode(F.array("later", "sooner")).alias("x")).select("x.doc", "x.at").distinct()
-    text = chosen(docs, wanted)
-    of = lambda side: text.select(F.struct("doc", "at").alias(side), F.col("line").alias(f"{side}_line"))
-    both = pairs.join(of("later"), "later").join(of("sooner"), "sooner")
-    return both.where(F.expr(within("later_line", "sooner_line"))).select("later.doc", "later.at", F.col("sooner.doc").alias("earlier_doc"), F.col("sooner.at").alias("earlier_at"))
+def shared_keys(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """key and place (doc, at) of the lines of each key that several have."""
+    lines = chosen(docs, places).where(f"n >= {LEAST_CHARS}")
+    keyed = lines.select("doc", "at", F.explode(F.expr(keys())).alias("key")).where("key is not null")
+    return keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", F.struct("doc", "at").alias("place"))
+
+
+def near_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc, at of the lines, given by their first places, that a different line within the distance precedes.
+
+    Of the keys of all lines, only those that two lines share matter, which are few: a count over each
+    key keeps them, and only their lines' texts are fetched. The join asks whether there is an earlier
+    line, and verifies inside, so a group of many alike lines makes no more rows than it has.
+    """
+    shared = written(lambda: shared_keys(docs, places))
+    text = chosen(docs, shared.select("place.doc", "place.at").distinct())
+    text = text.select(F.struct("doc", "at").alias("place"), "line", "n", counts(COUNTED[0]).alias("c1"), counts(COUNTED[1]).alias("c2"))
+    rows = shared.join(text, "place")
+    later, sooner = rows.alias("b"), rows.alias("a")
+    close = f"a.key = b.key and a.place < b.place and abs(a.n - b.n) <= {MOST_EDITS} and {near_counts('a', 'b')} and {within('a.line', 'b.line')}"
+    return later.join(sooner, F.expr(close), "left_semi").select("place.doc", "place.at").distinct()
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """docs with its_first (numbers of the lines that it is the first to hold) and its_near (those of them that a similar line precedes)."""
-    places = firsts(docs)
-    near = near_pairs(docs, places).select("doc", "at").distinct().withColumn("near", F.lit(True))
+    places = written(lambda: firsts(docs))
+    near = near_lines(docs, places).withColumn("near", F.lit(True))
     first = places.withColumn("near", F.lit(False))
     by_doc = first.union(near).groupBy(F.col("doc").alias("its_doc")).agg(
         F.collect_list(F.when(~F.col("near"), F.col("at"))).alias("its_first"), F.collect_list(F.when(F.col("near"), F.col("at"))).alias("its_near")
     )
     nothing = F.array().cast("array<int>")
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("its_doc")), "left").drop("its_doc")
+    joined = with_small(docs, by_doc, "left").drop("its_doc")
     return joined.withColumn("its_first", F.coalesce("its_first", nothing)).withColumn("its_near", F.coalesce("its_near", nothing))
 
 
@@ -164,16 +176,17 @@ def flags(lines: str, ats: str) -> str:
 
 def rewritten(docs: DataFrame) -> DataFrame:
     """docs with its new text and its_lines, its_exact, its_close: numbers of lines, of lines equal to and of lines close to an earlier one."""
-    found = marked(docs).withColumn("its_lines_all", F.split("text", "\n"))
-    found = found.withColumn("its_first_flags", F.expr(flags("its_lines_all", "its_first"))).withColumn("its_near_flags", F.expr(flags("its_lines_all", "its_near")))
-    is_line = r"rlike(l, '[^\\x20\\x09-\\x0D]')"
-    stays = f"not {is_line} or (its_first_flags[i] = '1' and its_near_flags[i] = '0')"
-    n = F.expr(f"size(filter(its_lines_all, l -> {is_line}))").cast("long")
-    first, close = F.size("its_first").cast("long"), F.size("its_near").cast("long")
-    has = F.col("text").isNotNull()
-    out = found.withColumn("its_lines", F.when(has, n).otherwise(F.lit(0).cast("long"))).withColumn("its_close", close).withColumn("its_exact", F.when(has, F.greatest(n - first, F.lit(0))).otherwise(F.lit(0).cast("long")))
-    out = out.withColumn("text", F.expr(f"array_join(filter(its_lines_all, (l, i) -> {stays}), '\n')"))
-    return out.select(*docs.columns, "its_lines", "its_exact", "its_close")
+    found, lines = marked(docs), "split(text, '\\n')"
+    zipped = F.arrays_zip(F.split("text", "\n").alias("l"), F.expr(flags(lines, "its_first")).alias("f"), F.expr(flags(lines, "its_near")).alias("k"))
+    nonblank = f"trim(both {WHITE} from x.l) != ''"
+    # n: lines; kept: those that stay, joined
+    parts = F.expr(f"aggregate(array(its_zip), named_struct('n', 0L, 'kept', ''), (z, w) -> named_struct('n', cast(size(filter(w, x -> {nonblank})) as bigint), 'kept', array_join(transform(filter(w, x -> (x.f = '1' and x.k = '0') or not ({nonblank})), x -> x.l), '\\n')))")
+    out = found.withColumn("its_zip", zipped).withColumn("its_parts", F.when(F.col("text").isNotNull(), parts))
+    first, close, n = F.size("its_first").cast("long"), F.size("its_near").cast("long"), F.coalesce(F.col("its_parts.n"), F.lit(0).cast("long"))
+    return out.select(
+        *(F.col("its_parts.kept").alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        n.alias("its_lines"), F.greatest(n - first, F.lit(0).cast("long")).alias("its_exact"), close.alias("its_close"),
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def test_every_close_pair_shares_a_key(spark):
         if len(b) >= d.LEAST_CHARS:
             rows.append((min(a, b, key=len), max(a, b, key=len)))
     frame = spark.createDataFrame(rows, "short string, long string")
-    own = frame.withColumn("line", F.col("short")).withColumn("n", F.length("line")).select("short", "long", F.expr(d.index_keys()).alias("own"))
-    asked = frame.withColumn("line", F.col("long")).withColumn("n", F.length("line")).select("short", "long", F.expr(d.probe_keys()).alias("asked"))
+    own = frame.withColumn("line", F.col("short")).withColumn("n", F.length("line")).select("short", "long", F.expr(d.keys()).alias("own"))
+    asked = frame.withColumn("line", F.col("long")).withColumn("n", F.length("line")).select("short", "long", F.expr(d.keys()).alias("asked"))
     missed = asked.join(own, ["short", "long"]).where(~F.arrays_overlap("asked", "own"))
     assert missed.count() == 0
 
