@@ -112,13 +112,15 @@ def pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
     return b"".join(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() for x, width in columns)
 
 
-def unpack(data: bytes, widths: list[int]) -> list[np.ndarray]:
-    n, out, at = len(data) // sum(widths), [], 0
-    for width in widths:
-        full = np.zeros((n, 8), dtype=np.uint8)
-        full[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+def unpack(data: bytes, widths: list[int], some: np.ndarray | None = None, first: int = 0, last: int | None = None) -> list[np.ndarray]:
+    """Columns first to last, of all rows or of some."""
+    n, out = len(data) // sum(widths), []
+    for k in range(first, len(widths) if last is None else last):
+        planes = np.frombuffer(data, dtype=np.uint8, count=n * widths[k], offset=n * sum(widths[:k])).reshape(widths[k], n)
+        planes = planes if some is None else planes[:, some]
+        full = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+        full[:, : widths[k]] = planes.T
         out.append(full.view("<u8").reshape(-1))
-        at += n * width
     return out
 
 
@@ -137,7 +139,7 @@ def places(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, ids, data: the phrases of a slice of documents that belong to a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 19):
             found = parse(*bytes_of(batch.column("text")))
             ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
             bucket = (found["trigger"] >> np.uint64(48)).astype(np.int64) * buckets >> 16
@@ -155,22 +157,60 @@ def places(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, data binary")
 
 
-def by_doc(docs: np.ndarray, columns: list[np.ndarray], widths: list[int]) -> dict[int, bytes]:
+def records(columns: list[np.ndarray], widths: list[int]) -> np.ndarray:
+    """Unsigned numbers as rows of so many bytes a column."""
+    return np.hstack([np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w] for x, w in zip(columns, widths, strict=True)])
+
+
+def of_records(data: bytes, widths: list[int]) -> list[np.ndarray]:
+    rows, out, at = np.frombuffer(data, dtype=np.uint8).reshape(-1, sum(widths)), [], 0
+    for w in widths:
+        full = np.zeros((len(rows), 8), dtype=np.uint8)
+        full[:, :w] = rows[:, at : at + w]
+        out.append(full.view("<u8").reshape(-1).astype(np.int64))
+        at += w
+    return out
+
+
+def by_doc(docs: np.ndarray, columns: list[np.ndarray], widths: list[int]) -> tuple[np.ndarray, pa.Array]:
+    """Distinct docs in order, and the records of each."""
     order = np.argsort(docs, kind="stable")
-    docs, columns = docs[order], [x[order] for x in columns]
-    edges = cuts(docs)
-    return {int(docs[a]): pack([(x[a:b], w) for x, w in zip(columns, widths, strict=True)]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a}
+    rows = records([x[order] for x in columns], widths)
+    ids, first = np.unique(docs[order], return_index=True)
+    ends = np.append(first, len(rows)) * rows.shape[1]
+    return ids, pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+#: Parts that a bucket's places are sorted in, to bound memory.
+SHARES = 16
 
 
 def settle(table: pa.Table) -> pa.Table:
     """doc_id, repeated, asked: of one bucket's places, those of phrases that a smaller doc_id has, and those of dictionary entries to compare."""
-    parts = []
-    for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True):
-        trigger, phrase, number, start, size = unpack(data, PLACE)
-        parts.append((trigger, phrase, np.frombuffer(ids, dtype=np.int64)[number.astype(np.int64)], start, size))
-    trigger, phrase, doc, start, size = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    held = [(np.frombuffer(ids, dtype=np.int64), data) for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True)]
+    share = [(unpack(data, PLACE, last=1)[0] % np.uint64(SHARES)).astype(np.uint8) for _, data in held]
+    repeats, questions = [], []
+    for k in range(SHARES):
+        parts = []
+        for (ids, data), own in zip(held, share, strict=True):
+            trigger, phrase, number, start, size = unpack(data, PLACE, np.flatnonzero(own == k))
+            parts.append((trigger, phrase, ids[number.astype(np.int64)], start, size))
+        found = settle_share(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
+        repeats.append(found[0])
+        questions.append(found[1])
+    whole = by_doc(*(lambda c: (c[0], c[1:], SPAN))([np.concatenate([r[i] for r in repeats]) for i in range(3)]))
+    some = by_doc(*(lambda c: (c[0], c[1:], ASKED))([np.concatenate([q[i] for q in questions]) for i in range(4)]))
+    ids = np.union1d(whole[0], some[0])
+    place = lambda x: pa.array(np.searchsorted(x[0], ids), mask=~np.isin(ids, x[0]))
+    return pa.table([pa.array(np.full(len(ids), table["bucket"][0].as_py())), pa.array(ids), whole[1].take(place(whole)), some[1].take(place(some))], names=["bucket", "doc_id", "repeated", "asked"])
+
+
+def settle_share(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(doc, start, size) of repeated places and (doc, start, size, trigger) of those to compare, from whole groups of a trigger."""
+    if not len(trigger):
+        return [doc, start, size], [doc, start, size, trigger]
     order = np.lexsort((doc, phrase, trigger))
-    trigger, phrase, doc, start, size = (x[order] for x in (trigger, phrase, doc, start, size))
+    trigger, phrase, doc = trigger[order], phrase[order], doc[order]
     new_trigger = np.concatenate([[True], trigger[1:] != trigger[:-1]])
     new_entry = new_trigger | np.concatenate([[True], phrase[1:] != phrase[:-1]])
     entry = np.cumsum(new_entry) - 1
@@ -181,11 +221,9 @@ def settle(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(new_trigger[new_entry])
     several = (entries > 1) & (np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first))
     asked = ~repeated & several[group]
-    bucket = table["bucket"][0].as_py()
-    whole = by_doc(doc[repeated], [start[repeated], size[repeated]], SPAN)
-    some = by_doc(doc[asked], [start[asked], size[asked], trigger[asked]], ASKED)
-    ids = sorted(whole.keys() | some.keys())
-    return pa.table([pa.array([bucket] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array([whole.get(i) for i in ids], pa.binary()), pa.array([some.get(i) for i in ids], pa.binary())], names=["bucket", "doc_id", "repeated", "asked"])
+    a, b = order[repeated], order[asked]
+    narrow = lambda x, at: [x, start[at].astype(np.uint64 if len(start) and start.max() >> 32 else np.uint32), size[at].astype(np.uint8)]
+    return narrow(doc[repeated], a), [*narrow(doc[asked], b), trigger[asked]]
 
 
 def fetch(asked: DataFrame) -> DataFrame:
@@ -197,7 +235,7 @@ def fetch(asked: DataFrame) -> DataFrame:
             held: dict[int, list] = {}
             for i, (doc, rows) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 for r in rows:
-                    start, size, trigger = (x.astype(np.int64) for x in unpack(r["data"], ASKED))
+                    start, size, trigger = of_records(r["data"], ASKED)
                     fits = start + size <= offsets[i + 1] - offsets[i]  # rows of one doc_id may hold other texts
                     held.setdefault(r["bucket"], []).append((start[fits] + offsets[i], start[fits], size[fits], trigger[fits], np.full(fits.sum(), doc)))
             rows = []
@@ -229,6 +267,10 @@ def window_ranks(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return ranked(rank[starts], rank[starts + LENGTH - width])
 
 
+#: Bytes of dictionary entries that are sorted together.
+SORTED = 1 << 20
+
+
 def compare(table: pa.Table) -> pa.Table:
     """doc_id, repeated: of one bucket's dictionary entries, the stretches whose windows a smaller doc_id has."""
     parts = []
@@ -236,27 +278,46 @@ def compare(table: pa.Table) -> pa.Table:
         parts.append((*(x.astype(np.int64) for x in unpack(data, ASKED)), np.frombuffer(ids, dtype=np.int64), np.frombuffer(held, dtype=np.uint8)))
     start, size, trigger, doc = (np.concatenate([p[k] for p in parts]) for k in range(4))
     flat, at = np.concatenate([p[4] for p in parts]), np.cumsum(size) - size
-    # windows of all entries: their place in flat, and their entry
+    order = np.argsort(trigger, kind="stable")
+    # windows of different triggers differ, so entries can be sorted in parts that each hold whole triggers
+    edges = cuts(trigger[order])
+    ends = np.cumsum(size[order])[edges[1:] - 1]
+    found, a = [], 0
+    while a < len(edges) - 1:
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + SORTED, side="right")))
+        some = order[edges[a] : edges[b]]
+        found.append(compare_part(flat, at[some], start[some], size[some], doc[some]))
+        a = b
+    columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
+    ids, spans = by_doc(columns[0], columns[1:], SPAN)
+    return pa.table([pa.array(ids), spans], names=["doc_id", "repeated"])
+
+
+def compare_part(flat: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start, size of stretches, from entries that lie at `at` in flat."""
+    own = np.cumsum(size) - size
+    flat = flat[np.arange(size.sum()) - np.repeat(own - at, size)]
+    # windows of all entries: their entry, and their place in it
     count = size - LENGTH + 1
     entry = np.repeat(np.arange(len(size)), count)
     shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    rank = window_ranks(flat, at[entry] + shift).astype(np.int64)
+    rank = window_ranks(flat, own[entry] + shift).astype(np.int64)
     least = np.full(rank.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, rank, doc[entry])
     hit = np.flatnonzero(least[rank] < doc[entry])
+    if not len(hit):
+        return hit, hit, hit
     # neighbouring windows of an entry make one stretch
-    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])]) if len(hit) else np.zeros(0, dtype=bool)
-    a = hit[new]
-    b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1] if len(hit) else hit
-    found = by_doc(doc[entry[a]], [start[entry[a]] + shift[a], shift[b] - shift[a] + LENGTH], SPAN)
-    return pa.table([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["doc_id", "repeated"])
+    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])])
+    a, b = hit[new], hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
+    return doc[entry[a]], start[entry[a]] + shift[a], shift[b] - shift[a] + LENGTH
 
 
 def merge(parts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs that packed spans cover in a text of n bytes."""
-    both = [unpack(x, SPAN) for x in parts]
-    start = np.concatenate([x[0] for x in both]).astype(np.int64) if both else np.zeros(0, dtype=np.int64)
-    end = start + np.concatenate([x[1] for x in both]).astype(np.int64) if both else start
+    start, size = of_records(b"".join(parts), SPAN)
+    end = start + size
     start, end = start[end <= n], end[end <= n]
     if not len(start):
         return start, end
@@ -268,12 +329,17 @@ def merge(parts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, repeated: packed spans, in one row or several of a document, that a smaller doc_id has."""
-    buckets = min(1 << 16, shuffle_partitions(docs.sparkSession))
-    settled = written(places(docs, buckets).groupBy("bucket").applyInArrow(settle, "bucket long, doc_id long, repeated binary, asked binary"))
+    buckets = min(1 << 16, 2 * shuffle_partitions(docs.sparkSession))  # of half a partition's size, as a task holds a whole one
+    settled = written(lambda: places(docs, buckets).groupBy("bucket").applyInArrow(settle, "bucket long, doc_id long, repeated binary, asked binary"))
+    compared = written(lambda: compare_asked(docs, settled))
+    return settled.where("repeated is not null").select("doc_id", "repeated").union(compared)
+
+
+def compare_asked(docs: DataFrame, settled: DataFrame) -> DataFrame:
+    """doc_id, repeated: what comparing the dictionary entries that settle() asked for finds."""
     asked = settled.where("asked is not null").groupBy(F.col("doc_id").alias("its_doc")).agg(F.collect_list(F.struct("bucket", F.col("asked").alias("data"))).alias("asked"))
     fetched = fetch(docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("its_doc")).select("doc_id", "text", "asked"))
-    compared = written(fetched.groupBy("bucket").applyInArrow(compare, "doc_id long, repeated binary"))
-    return settled.where("repeated is not null").select("doc_id", "repeated").union(compared)
+    return fetched.groupBy("bucket").applyInArrow(compare, "doc_id long, repeated binary")
 
 
 def strip(docs: DataFrame) -> DataFrame:

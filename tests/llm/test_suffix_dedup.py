@@ -93,6 +93,15 @@ def test_packing():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 40, 33).astype(np.uint64), rng.integers(0, 256, 33).astype(np.uint64)
     assert all(np.array_equal(x, y) for x, y in zip((a, b), s.unpack(s.pack([(a, 5), (b, 1)]), [5, 1]), strict=True))
+    assert all(np.array_equal(x, y) for x, y in zip((a, b), s.of_records(s.records([a, b], [5, 1]).tobytes(), [5, 1]), strict=True))
+
+
+def test_dictionary_parts_make_no_difference(documents, monkeypatch):
+    rng = random.Random(6)
+    passages = ["".join(rng.choice("abc") for _ in range(90)) for _ in range(6)]
+    rows = [(i, "".join(rng.choice(passages)[rng.randint(0, 30) :] for _ in range(3))) for i in range(30)]
+    monkeypatch.setattr(s, "SORTED", 200)
+    assert result(documents(*((i, x, "en", "s") for i, x in rows))) == brute(rows)
 
 
 def test_nulls_empties_repeats_and_extra_columns(documents):
