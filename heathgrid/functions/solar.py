@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def poly(t: Column, *terms: float) -> Column:
 
 
 def seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1e6)
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
 def julian_day(ts: Column) -> Column:
@@ -90,26 +92,46 @@ def sun_times(rows: DataFrame, ts: str, lat: str, lng: str) -> DataFrame:
     """rows with sunrise and sunset of the local solar day around ts; NULL where the sun doesn't cross the horizon.
 
     The day runs from local solar midnight. Altitude is taken every ten minutes; in the first step where
-    it changes sign upwards (sunrise) or downwards (sunset), twenty halvings close in on the crossing.
-    Distinct places and days are few beside rows, so times are worked out once for each and joined back.
+    it changes sign upwards (sunrise) or downwards (sunset), twenty halvings close in on the crossing. A
+    halving needs the one before, so it's a vectorised kernel over the distinct places and days, which
+    are few beside the rows; times are joined back.
     """
     day = F.floor((seconds(F.col(ts)) + F.col(lng) * 240) / 86400)
-    start = F.timestamp_micros(((day * 86400 - F.col(lng) * 240) * 1e6).cast("long"))
-    keyed = rows.withColumn("_start", start)
-    days = keyed.select("_start", F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).where("_start is not null").distinct()
-    at = lambda m: F.timestamp_micros(F.unix_micros("_start") + (m * 60e6).cast("long"))
-    steps = days.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(1440), F.lit(10))))
-    steps = steps.withColumn("_h", sun(at(F.col("_m")), F.col("_lat"), F.col("_lng"))["altitude"] > 0)
-    marks = steps.groupBy("_start", "_lat", "_lng").agg(F.array_sort(F.collect_list(F.struct("_m", "_h"))).alias("_s"))
-    for name, up in (("rise", "true"), ("set", "false")):
-        marks = marks.withColumn(f"_{name}", F.expr(f"filter(transform(slice(_s, 1, size(_s) - 1), (s, i) -> if(s._h != {up} and _s[i + 1]._h = {up}, double(s._m), null)), m -> m is not null)[0]") if False else F.expr(f"get(filter(transform(slice(_s, 1, size(_s) - 1), (s, i) -> if(s._h != {up} and _s[i + 1]._h = {up}, double(s._m), null)), m -> m is not null), 0)"))
-    for name, up in (("rise", True), ("set", False)):
-        low, width = F.col(f"_{name}"), 10.0
-        marks = marks.withColumn("_low", low)
-        for _ in range(20):
-            width /= 2
-            above = sun(at(F.col("_low") + width), F.col("_lat"), F.col("_lng"))["altitude"] > 0
-            marks = marks.withColumn("_low", F.when(above == F.lit(up), F.col("_low")).otherwise(F.col("_low") + width))
-        marks = marks.withColumn(f"sun{name}", F.when(F.col(f"_{name}").isNotNull(), at(F.col("_low"))))
-    times = marks.select("_start", "_lat", "_lng", "sunrise", "sunset")
-    return keyed.join(times, (keyed["_start"] == times["_start"]) & (F.col(lat) == F.col("_lat")) & (F.col(lng) == F.col("_lng")), "left").select(*rows.columns, "sunrise", "sunset")
+    keyed = rows.withColumn("_start", (day * 86400 - F.col(lng) * 240).cast("double"))
+    days = keyed.select("_start", F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng")).where("_start is not null and _lat is not null").distinct()
+
+    def run(frames):
+        for f in frames:
+            start, la, ln = (f[k].to_numpy(float) for k in ("_start", "_lat", "_lng"))
+            steps = np.stack([altitude(start + m * 60, la, ln) for m in range(0, 1441, 10)]) > 0
+            out = {}
+            for name, up in (("sunrise", True), ("sunset", False)):
+                turns = (steps[:-1] != up) & (steps[1:] == up)
+                some, low = turns.any(axis=0), turns.argmax(axis=0) * 600.0
+                for k in range(20):
+                    width = 600 / 2 ** (k + 1)
+                    low = np.where((altitude(start + low + width, la, ln) > 0) == up, low, low + width)
+                out[name] = pd.array(np.floor((start + low) * 1e6).astype("int64"), dtype="Int64")
+                out[name][~some] = pd.NA
+            yield f.assign(**out)
+
+    times = days.mapInPandas(run, "_start double, _lat double, _lng double, sunrise long, sunset long")
+    times = times.withColumn("sunrise", F.timestamp_micros("sunrise")).withColumn("sunset", F.timestamp_micros("sunset"))
+    same = (keyed["_start"] == times["_start"]) & (F.col(lat) == F.col("_lat")) & (F.col(lng) == F.col("_lng"))
+    return keyed.join(times, same, "left").select(*rows.columns, "sunrise", "sunset")
+
+
+def altitude(at: np.ndarray, lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
+    """sun()'s altitude for times in seconds, in numpy."""
+    t = (at / 86400 + 2440587.5 - STANDARD_NOON) / 36525
+    p = np.polynomial.polynomial.polyval
+    mean_long, m, node = p(t, [280.46646, 36000.76983, 0.0003032]) % 360, np.radians(p(t, [357.52911, 35999.05029, -0.0001537])), np.radians(p(t, [125.04, -1934.136]))
+    centre = np.sin(m) * p(t, [1.914602, -0.004817, -0.000014]) + np.sin(2 * m) * p(t, [0.019993, -0.000101]) + np.sin(3 * m) * 0.000289
+    apparent = np.radians(mean_long + centre - 0.00569 - np.sin(node) * 0.00478)
+    tilt = np.radians(p(t, [23 + 26 / 60 + 21.448 / 3600, -46.815 / 3600, -0.00059 / 3600, 0.001813 / 3600]) + np.cos(node) * 0.00256)
+    dec = np.arcsin(np.sin(tilt) * np.sin(apparent))
+    y, e, l2 = np.tan(tilt / 2) ** 2, p(t, [0.016708634, -0.000042037, -0.0000001267]), 2 * np.radians(mean_long)
+    equation = 4 * np.degrees(y * np.sin(l2) - 2 * e * np.sin(m) + 4 * e * y * np.sin(m) * np.cos(l2) - 0.5 * y * y * np.sin(2 * l2) - 1.25 * e * e * np.sin(2 * m))
+    hour = np.radians(((at % 86400 / 60 + equation + 4 * lng) % 1440) / 4 - 180)
+    phi = np.radians(lat)
+    return 90 - np.degrees(np.arccos(np.clip(np.sin(phi) * np.sin(dec) + np.cos(phi) * np.cos(dec) * np.cos(hour), -1, 1)))

@@ -55,8 +55,12 @@ def bedding(slope: Column, exposure: Column, ring_mean: Column, ring_samples: Co
     return F.when(enough, clamp01(aspect * pad * ring * (clamp01(shelter) * 0.75 + 0.25) * (clamp01(vrm / FULL_COVER) * 0.6 + 0.4)))
 
 
-def wind_rating(exposure: Column, thermal_azimuth: Column, wind_from: Column, wind_octant: Column, huntable: Column) -> Column:
-    """good, marginal or burned: whether air along the slope and the wind disagree, how open the place is, and the listed winds."""
-    apart = F.abs(azimuth_delta(thermal_azimuth, wrap(wind_from + 180.0, 360))) > 90
-    listed = F.size(huntable) > 0
-    return F.when(listed & ~F.array_contains(huntable, wind_octant), "burned").when(apart & (exposure > 0.5), "burned").when(apart | (exposure > 0.5), "marginal").otherwise("good")
+def wind_rating(phase: Column, exposure: Column, thermal_azimuth: Column, wind_from: Column, wind_octant: Column, huntable: Column) -> Column:
+    """good, marginal or burned for a stand.
+
+    A wind that isn't on the stand's list burns it. It's marginal while thermals switch, where air along the
+    slope and the wind run more than a right angle apart, and in the lee.
+    """
+    apart = F.coalesce(F.abs(azimuth_delta(thermal_azimuth, wrap(wind_from + 180.0, 360))), F.lit(0.0))
+    doubtful = (phase == "transition") | (apart > 90) | (F.coalesce(exposure, F.lit(0.0)) < -0.5)
+    return F.when((F.size(huntable) > 0) & ~F.array_contains(huntable, wind_octant), "burned").when(doubtful, "marginal").otherwise("good")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from heathgrid.queries import raster
+from heathgrid.queries import field, geo, raster
 
 
 def queries():
-    return dict(raster.QUERIES)
+    return raster.QUERIES | field.QUERIES | geo.QUERIES
 
 
 def oracle_sql():
-    return dict(raster.ORACLE)
+    return raster.ORACLE | field.ORACLE | geo.ORACLE
