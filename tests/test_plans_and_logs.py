@@ -101,3 +101,18 @@ def test_replay_and_inserts(spark):
     assert found == {("a", 1): ("applied", 2), ("a", 2): ("conflict", 2), ("a", 3): ("applied", 3), ("b", 1): ("conflict", 4), ("c", 1): ("missing", None)}
     new = fieldlog.new_rows(spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "y")], "seq long, client_id string"), spark.createDataFrame([("y",)], "client_id string"))
     assert sorted(r.seq for r in new.collect()) == [1, 3]
+
+
+def test_corridor_shapes():
+    import numpy as np
+
+    g = cost.Grid(np.ones((15, 30)), np.zeros((15, 30)), np.zeros((15, 30)), 10.0)
+    found = g.corridor(cost.seed_cells([(2, 7)], 30, 15), cost.seed_cells([(27, 7)], 30, 15))
+    lines = cost.centre_lines(found["strength"], found["mask"])
+    assert 1 <= len(lines) <= 6 and all(len(x) >= 8 and len(set(x)) == len(x) for x in lines)
+    assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for x in lines for a, b in zip(x, x[1:], strict=False))
+    assert len(cost.seed_cells([(0, 0), (1, 0)], 30, 15)) == 12
+    box = np.zeros((9, 9), dtype=bool)
+    box[2:7, 3:8] = True
+    assert cost.edge_cells(box).sum() == 16 and cost.band(box) == [(3, 2), (7, 2), (7, 6), (3, 6)]
+    assert cost.top_apart(np.where(box, 0.9, 0.0)) == [(3, 2, 0.9)]
