@@ -131,8 +131,10 @@ def cuts(keys: np.ndarray) -> np.ndarray:
 
 #: Byte widths in packed form: trigger and phrase hashes, number in the row's list of documents, start, size.
 PLACE = [6, 5, 3, 5, 1]
-#: Start, size; the same with the trigger; start, size, trigger's rest.
+#: Start, size; the same with the trigger's rest; with the low bits of doc_id before them, for rows of several documents.
 SPAN, ASKED = [5, 1], [5, 1, 6]
+GROUP_BITS = 7
+SPANS, ASKEDS = [1, *SPAN], [1, *ASKED]
 
 
 def places(docs: DataFrame, buckets: int) -> DataFrame:
@@ -186,7 +188,7 @@ SHARES = 16
 
 
 def settle(table: pa.Table) -> pa.Table:
-    """doc_id, repeated, asked: of one bucket's places, those of phrases that a smaller doc_id has, and those of dictionary entries to compare."""
+    """bucket, group (of neighbouring doc_ids), repeated, asked: of one bucket's places, those of phrases that a smaller doc_id has, and those of dictionary entries to compare."""
     held = [(np.frombuffer(ids, dtype=np.int64), data) for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True)]
     share = [(unpack(data, PLACE, last=1)[0] % np.uint64(SHARES)).astype(np.uint8) for _, data in held]
     repeats, questions = [], []
@@ -198,11 +200,37 @@ def settle(table: pa.Table) -> pa.Table:
         found = settle_share(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
         repeats.append(found[0])
         questions.append(found[1])
-    whole = by_doc(*(lambda c: (c[0], c[1:], SPAN))([np.concatenate([r[i] for r in repeats]) for i in range(3)]))
-    some = by_doc(*(lambda c: (c[0], c[1:], ASKED))([np.concatenate([q[i] for q in questions]) for i in range(4)]))
+    low = (1 << GROUP_BITS) - 1
+    spans = lambda c, widths: by_doc(c[0] >> GROUP_BITS, [c[0] & low, *c[1:]], widths)
+    whole = spans([np.concatenate([r[i] for r in repeats]) for i in range(3)], SPANS)
+    some = spans([np.concatenate([q[i] for q in questions]) for i in range(4)], ASKEDS)
     ids = np.union1d(whole[0], some[0])
     place = lambda x: pa.array(np.searchsorted(x[0], ids), mask=~np.isin(ids, x[0]))
-    return pa.table([pa.array(np.full(len(ids), table["bucket"][0].as_py())), pa.array(ids), whole[1].take(place(whole)), some[1].take(place(some))], names=["bucket", "doc_id", "repeated", "asked"])
+    return pa.table([pa.array(np.full(len(ids), table["bucket"][0].as_py())), pa.array(ids), whole[1].take(place(whole)), some[1].take(place(some))], names=["bucket", "group", "repeated", "asked"])
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """doc_id, repeated, asked (list of bucket and records): what all buckets found of the documents of one group."""
+    high = table["group"][0].as_py() << GROUP_BITS
+    repeated: dict[int, list[bytes]] = {}
+    asked: dict[int, list[dict]] = {}
+    for bucket, spans, questions in zip(*(table[k].to_pylist() for k in ("bucket", "repeated", "asked")), strict=True):
+        for data, widths in ((spans, SPANS), (questions, ASKEDS)):
+            if not data:
+                continue
+            rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, sum(widths))
+            order = np.argsort(rows[:, 0], kind="stable")
+            rows = rows[order]
+            edges = cuts(rows[:, 0])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                doc, own = high + int(rows[a, 0]), rows[a:b, 1:].tobytes()
+                if widths is SPANS:
+                    repeated.setdefault(doc, []).append(own)
+                else:
+                    asked.setdefault(doc, []).append({"bucket": bucket, "data": own})
+    ids = sorted(repeated.keys() | asked.keys())
+    kind = pa.list_(pa.struct([("bucket", pa.int64()), ("data", pa.binary())]))
+    return pa.table([pa.array(ids, pa.int64()), pa.array([b"".join(repeated[i]) if i in repeated else None for i in ids], pa.binary()), pa.array([asked.get(i) for i in ids], kind)], names=["doc_id", "repeated", "asked"])
 
 
 def settle_share(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -330,14 +358,16 @@ def merge(parts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, repeated: packed spans, in one row or several of a document, that a smaller doc_id has."""
     buckets = min(1 << 16, 2 * shuffle_partitions(docs.sparkSession))  # of half a partition's size, as a task holds a whole one
-    settled = written(lambda: places(docs, buckets).groupBy("bucket").applyInArrow(settle, "bucket long, doc_id long, repeated binary, asked binary"))
+    kinds = "doc_id long, repeated binary, asked array<struct<bucket: bigint, data: binary>>"
+    # neighbouring documents share rows until all buckets meet, or each bucket would make a row of each document
+    settled = written(lambda: places(docs, buckets).groupBy("bucket").applyInArrow(settle, "bucket long, `group` long, repeated binary, asked binary").groupBy("group").applyInArrow(gather, kinds))
     compared = written(lambda: compare_asked(docs, settled))
     return settled.where("repeated is not null").select("doc_id", "repeated").union(compared)
 
 
 def compare_asked(docs: DataFrame, settled: DataFrame) -> DataFrame:
     """doc_id, repeated: what comparing the dictionary entries that settle() asked for finds."""
-    asked = settled.where("asked is not null").groupBy(F.col("doc_id").alias("its_doc")).agg(F.collect_list(F.struct("bucket", F.col("asked").alias("data"))).alias("asked"))
+    asked = settled.where("asked is not null").select(F.col("doc_id").alias("its_doc"), "asked")
     fetched = fetch(docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("its_doc")).select("doc_id", "text", "asked"))
     return fetched.groupBy("bucket").applyInArrow(compare, "doc_id long, repeated binary")
 
