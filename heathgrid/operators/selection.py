@@ -24,11 +24,15 @@ def every_bin():
 
 def bin_index(value: Column, bins: list[tuple[str, float, float]]) -> Column:
     """Number of the first bin that holds value, -1 if none does, NULL for NULL."""
-    out = F.when(value.isNull(), F.lit(None).cast("int"))
-    for i, (_, low, high) in enumerate(bins):
-        inside = (value >= low) | (value < high) if low > high else (value >= low) & (value < high)
-        out = out.when(inside, i)
-    return out.otherwise(-1)
+    def chosen(v: Column) -> Column:
+        out = F.when(v.isNull(), F.lit(None).cast("int"))
+        for i, (_, low, high) in enumerate(bins):
+            inside = (v >= low) | (v < high) if low > high else (v >= low) & (v < high)
+            out = out.when(inside, i)
+        return out.otherwise(-1)
+
+    # as a lambda's variable, value is worked out once and not for each bound
+    return F.transform(F.array(value), chosen)[0]
 
 
 def bin_table(df: DataFrame, bins: list[tuple[str, float, float]]) -> DataFrame:
