@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heathgrid.functions.num import clamp01
@@ -112,6 +112,9 @@ def fill_pass(cells: DataFrame) -> DataFrame:
 
 def fill_voids(cells: DataFrame, passes: int = 8) -> DataFrame:
     """fill_pass, up to so many times, until it fills nothing more; each pass is checkpointed."""
+    context = cells.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("/tmp/heathgrid-checkpoints")  # no cluster has named one: tests
     left = cells.where("z is null").count()
     for _ in range(passes):
         if not left:
@@ -127,7 +130,3 @@ def fill_voids(cells: DataFrame, passes: int = 8) -> DataFrame:
 def height_range(cells: DataFrame) -> DataFrame:
     """grid_id and its least and greatest known height; 0 if there is none."""
     return cells.groupBy("grid_id").agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("min_z"), F.coalesce(F.max("z"), F.lit(0.0)).alias("max_z"))
-
-
-def rank_in_grid(order: list[Column]):
-    return F.row_number().over(Window.partitionBy("grid_id").orderBy(*order))
