@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from heathgrid.queries import field, geo, raster
+from heathgrid.queries import field, geo, raster, stream
 
 
 def queries():
-    return raster.QUERIES | field.QUERIES | geo.QUERIES
+    return raster.QUERIES | field.QUERIES | geo.QUERIES | stream.QUERIES
 
 
 def oracle_sql():
-    return raster.ORACLE | field.ORACLE | geo.ORACLE
+    return raster.ORACLE | field.ORACLE | geo.ORACLE | stream.ORACLE
