@@ -313,3 +313,36 @@ def flat_cost_distance(spark, sf_dir):
 @query()
 def corridor_events(spark, sf_dir):
     return cost.over_grids(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).select("x", "y", *(F.round(k, 7).alias(k) for k in ("cost_a", "cost_b", "excess", "strength", "pinch")), "inside")
+
+
+# ---- stands and areas ---------------------------------------------------------------------------------
+
+STANDS = "s as (select s_suppkey as id, (['rising', 'sinking', 'transition'])[(s_suppkey % 3 + 1)::int] as phase, (s_suppkey % 21 - 10) / 10.0::double as exposure, case when s_suppkey % 11 = 0 then null else (s_suppkey * 53 % 360)::double end as thermal, (s_suppkey * 37 % 360)::double as wind, case when s_suppkey % 4 = 0 then [] else ['N', 'SE', 'W', 'NW'] end as winds from supplier)"
+
+
+@query(f"with {STANDS}, o as (select *, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[(floor((wind + 22.5) / 45)::int % 8) + 1] as octant, abs((thermal - (wind + 180) % 360 + 540) - 360 * floor((thermal - (wind + 180) % 360 + 540) / 360) - 180) as apart from s) select id, octant, case when len(winds) > 0 and not list_contains(winds, octant) then 'burned' when phase = 'transition' or coalesce(apart, 0) > 90 or exposure < -0.5 then 'marginal' else 'good' end as rating from o")
+def wind_check(spark, sf_dir):
+    from heathgrid.functions import wind
+
+    k = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        k.alias("id"), F.element_at(F.array(*map(F.lit, ("rising", "sinking", "transition"))), (k % 3 + 1).cast("int")).alias("phase"), ((k % 21 - 10) / 10.0).alias("exposure"),
+        F.when(k % 11 != 0, (k * 53 % 360).cast("double")).alias("thermal"), (k * 37 % 360).cast("double").alias("wind"), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, ("N", "SE", "W", "NW")))).alias("winds"),
+    )
+    rows = rows.withColumn("octant", landform.octant(F.col("wind")))
+    return rows.select("id", "octant", wind.wind_rating(F.col("phase"), F.col("exposure"), F.col("thermal"), F.col("wind"), F.col("octant"), F.col("winds")).alias("rating"))
+
+
+@query()
+def bedding(spark, sf_dir):
+    from heathgrid.plans import analyze
+
+    fields = analyze.analyze(r.raster(spark, sf_dir), {"bedding", "bench", "weiss"}, r.CELL, 20, wind_from=r.WIND_FROM, sun=r.SUN, celsius=-3.0)
+    return fields.select("x", "y", F.round("bedding", 6).alias("bedding"), "bench", "weiss")
+
+
+@query(f"with {r.SURFACE}, ar as (select * from s where x between 9 and 90 and y between 9 and (select max(event_id) // 100 from events) - 9) select count(*) as cells, count(*) filter (slope between 8 and 20) as matched, round(count(*) filter (slope between 8 and 20)::double / greatest(count(*), 1), 6) as share, case when count(*) filter (slope between 8 and 20)::double / greatest(count(*), 1) > 0.35 then 'tighten' when count(*) filter (slope between 8 and 20)::double / greatest(count(*), 1) < 0.002 then 'loosen' end as advice from ar")
+def area_share(spark, sf_dir):
+    from heathgrid.plans import analyze, predicate
+
+    return analyze.area_share(r.raster(spark, sf_dir), predicate.PRESETS["Sidehill"], r.CELL, 9).withColumn("share", F.round("share", 6))
