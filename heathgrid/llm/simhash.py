@@ -61,33 +61,39 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
+def unary(v: str) -> str:
+    """SQL of the counts of the two-bit segments of the 32 bits v, each in unary: its bits in order."""
+    low = "1431655765L"  # the low bit of every segment
+    return f"((({v} | shiftright({v}, 1)) & {low}) | shiftleft({v} & shiftright({v}, 1) & {low}, 1))"
+
+
+def half(fp: str, h: str) -> str:
+    """SQL of half h of a fingerprint."""
+    return f"(shiftrightunsigned({fp}, int(32 * ({h}))) & 4294967295L)"
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct values of column fp at 4 or fewer differing bits."""
-    low = "0x55555555L"
-    low = str(int(low[:-1], 16)) + "L"
-    unary = "((({v} | shiftright({v}, 1)) & L) | shiftleft({v} & shiftright({v}, 1) & L, 1))".replace("L", low)
-    halves = nodes.select(
-        "fp",
-        F.explode(F.array(*(F.struct(F.lit(h).alias("half"), F.expr(unary.format(v=f"(shiftrightunsigned(fp, {32 * h}) & 4294967295L)")).alias("p"), F.expr(unary.format(v=f"(shiftrightunsigned(fp, {32 * (1 - h)}) & 4294967295L)")).alias("o")) for h in (0, 1)))).alias("x"),
-    ).select("fp", "x.*")
+    halves = nodes.select("fp", F.explode(F.expr(f"array(named_struct('half', 0L, 'p', {unary(half('fp', '0'))}), named_struct('half', 1L, 'p', {unary(half('fp', '1'))}))")).alias("x")).select("fp", "x.*")
     # a bit may flip if the count stays valid: the low one while the high one is 0, the high one while the low one is 1
     steps = "filter(sequence(0, 31), b -> if(b % 2 = 0, (shiftright(p, b + 1) & 1) = 0, (shiftright(p, b - 1) & 1) = 1))"
-    filed = halves.select(
-        "fp", "half", "p", "o", F.explode(F.expr(f"concat(array(p), transform({steps}, b -> p ^ shiftleft(1L, b)))")).alias("z")
-    ).select(F.expr("half * 4294967296L + z").alias("cell"), "half", "fp", "p", "o")
+    # both sides are the same two columns, so they are made and shuffled once; a pair's embedding is made anew from its fingerprints
+    filed = halves.select("fp", F.explode(F.expr(f"transform(concat(array(p), transform({steps}, b -> p ^ shiftleft(1L, b))), z -> half * 4294967296L + z)")).alias("cell"))
     a, b = filed.alias("a"), filed.alias("b")
-    differ = "(a.p ^ b.p)"
-    field = f"(({differ} | shiftright({differ}, 1)) & {low})"
+    side = "shiftright(a.cell, 32)"
+    p, q = unary(half("a.fp", side)), unary(half("b.fp", side))
+    o = f"bit_count({unary(half('a.fp', f'1 - {side}'))} ^ {unary(half('b.fp', f'1 - {side}'))})"
+    differ = f"({p} ^ {q})"
+    field = f"(({differ} | shiftright({differ}, 1)) & 1431655765L)"
     unit = f"({field} & -{field})"
     both = f"({differ} & ({unit} * 3))"
     # a count of 0 rises by its low bit first, a count of 2 falls by its high bit first
-    step = f"if({both} = {unit} * 3, if((a.p & {unit}) = 0, {unit}, {unit} * 2), {both})"
+    step = f"if({both} = {unit} * 3, if(({p} & {unit}) = 0, {unit}, {unit} * 2), {both})"
     return a.join(
         b,
         F.expr(
-            f"a.cell = b.cell and a.fp < b.fp and bit_count({differ}) <= 2 and bit_count({differ}) + bit_count(a.o ^ b.o) <= {MOST_BITS}"
-            f" and (a.half = 0 or bit_count(a.o ^ b.o) > 2) and bit_count(a.fp ^ b.fp) <= {MOST_BITS}"
-            f" and a.cell = a.half * 4294967296L + (a.p ^ {step})"
+            f"a.cell = b.cell and a.fp < b.fp and bit_count({differ}) + {o} <= {MOST_BITS} and bit_count(a.fp ^ b.fp) <= {MOST_BITS}"
+            f" and bit_count({differ}) <= 2 and ({side} = 0 or {o} > 2) and a.cell = {side} * 4294967296L + ({p} ^ {step})"
         ),
     ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
