@@ -1,9 +1,10 @@
 """Training texts that hold test items, whole, edited or paraphrased.
 
-Each test item is cut into word n-grams. A first pass over the corpus counts in how many texts each of
-them stands; an item's rarer n-grams, by these counts, are its seeds. A second pass joins texts to
-items that share a seed, and aligns the item's words with the text's words around the seeds by
-Smith-Waterman. An alignment's score is its points as a share of those of the whole item.
+Each test item is cut into pairs of words that stand next to each other or have one word between them.
+A first pass over the corpus counts in how many texts each pair stands; an item's rarer pairs, by these
+counts, are its seeds. A second pass joins texts to items that share a seed, and aligns the item's words
+with the text's words around the seeds by Smith-Waterman. An alignment's score is its points as a share
+of those of the whole item. No alignment that reaches THRESHOLD is without a seed (least_pairs).
 
 Words are runs of letters, digits and non-ASCII characters, with A-Z in lower case. The test set is
 read in blocks of a bounded size, and each block goes to all texts; the join can't grow a hot key, as
@@ -55,6 +56,21 @@ def grams_of(words: np.ndarray) -> np.ndarray:
     return code
 
 
+def pairs_of(words: np.ndarray, apart: int) -> np.ndarray:
+    """Each word with the one `apart` words on; the number doesn't depend on `apart`."""
+    return mixed(mixed(words[:-apart] * np.uint64(0x2545F4914F6CDD1D)) + words[apart:])
+
+
+def least_pairs(n: int) -> int:
+    """Of how many words, at least, an item of n words has its pair in each text that it matches.
+
+    m matches less a penalty of at least 1 for each fault make THRESHOLD * 2 n points, so at most
+    2 m - THRESHOLD * 2 n faults lie in the m - 1 steps from a match to the next one, and at least
+    THRESHOLD * n - 1 steps have one fault or none: they are pairs, in the item as in the text.
+    """
+    return max(1, int(np.ceil(THRESHOLD * n - 1)))
+
+
 class Finder:
     """Places of a fixed set of 64-bit numbers in long arrays."""
 
@@ -97,7 +113,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of test items and, once counts are known, their seeds."""
+    """A block of test items and, once counts are known, their seeds: the rarer n-grams, which an edited copy may lack."""
 
     def __init__(self, ids: list, texts: list[str]):
         words, first = words_of(pa.array(texts, type=pa.large_string()))
@@ -134,8 +150,7 @@ class Items:
                 if run and (s is None or s - run[-1] > n):
                     a, b = max(0, run[0] - n), min(len(words), run[-1] + 2 * n)
                     part = words[a:b]
-                    # an item's word can only match where the text has it
-                    if np.isin(item, part).sum() >= THRESHOLD * n:
+                    if self.likely(i, part):
                         points, start, end = align(item, part)
                         best = max(best, (points, a + start, a + end - 1))
                     run = []
@@ -146,22 +161,69 @@ class Items:
                 found.append((i, score, best[1], best[2]))
         return found
 
+    def likely(self, i: int, part: np.ndarray) -> bool:
+        # an item's word can only match where the text has it
+        return np.isin(self.words[i], part).sum() >= THRESHOLD * len(self.words[i])
+
+
+class Paired(Items):
+    """A block of test items whose seeds are pairs of words: no match is without one."""
+
+    def __init__(self, ids: list, texts: list[str]):
+        super().__init__(ids, texts)
+        # by the pair's first word: with the next word, and with the one after it where there is one
+        self.pairs = []
+        for x in self.words:
+            near = pairs_of(x, 1)
+            self.pairs.append(np.stack([near, np.append(pairs_of(x, 2), near[-1])], axis=1))
+        self.all = Finder(np.concatenate([*map(np.ravel, self.pairs), np.zeros(0, np.uint64)]))
+
+    def seed(self, counts: np.ndarray) -> None:
+        """Choose seeds by the number of texts that hold each of all.wanted: the pairs of so many words that too few are left for a match."""
+        chosen = []
+        for i, x in enumerate(self.pairs):
+            often = counts[np.searchsorted(self.all.wanted, x)].sum(axis=1)
+            order = np.argsort(often, kind="stable")[: len(x) - least_pairs(len(self.words[i])) + 1]
+            chosen += [(pair, i, k) for k in order.tolist() for pair in np.unique(x[k])]
+        self.seeds = Finder(np.array([x for x, _, _ in chosen], dtype=np.uint64))
+        at = np.searchsorted(self.seeds.wanted, np.array([x for x, _, _ in chosen], dtype=np.uint64))
+        self.of = [[] for _ in self.seeds.wanted]
+        for k, (_, i, place) in zip(at.tolist(), chosen, strict=True):
+            self.of[k].append((i, place))
+
+    def likely(self, i: int, part: np.ndarray) -> bool:
+        there = np.isin(self.pairs[i], np.concatenate([pairs_of(part, 1), pairs_of(part, 2)]))
+        return there.any(axis=1).sum() >= least_pairs(len(self.words[i])) and super().likely(i, part)
+
+
+def found_pairs(finder: Finder, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place of the first word and index in finder.wanted of each pair that is wanted, in the order of places."""
+    out = []
+    for apart in (1, 2):
+        at, which = finder(pairs_of(words, apart))
+        text = np.searchsorted(first, at, side="right") - 1
+        inside = at + apart < first[text + 1]
+        out.append((text[inside], at[inside], which[inside]))
+    text, at, which = map(np.concatenate, zip(*out, strict=True))
+    order = np.argsort(at, kind="stable")
+    return text[order], at[order], which[order]
+
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
+def blocks(benchmark: DataFrame) -> Iterator[Paired]:
     ids, texts, size = [], [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         if ids and (size + len(r.text) > BLOCK_CHARS or len(ids) >= BLOCK_ITEMS):
-            yield Items(ids, texts)
+            yield Paired(ids, texts)
             ids, texts, size = [], [], 0
         ids.append(r.item_id)
         texts.append(r.text)
         size += len(r.text)
     if ids:
-        yield Items(ids, texts)
+        yield Paired(ids, texts)
 
 
-def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many texts each of the block's n-grams stands."""
+def pair_counts(docs: DataFrame, items: Paired) -> np.ndarray:
+    """In how many texts each of the block's pairs stands."""
     held = docs.sparkSession.sparkContext.broadcast(items.all)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +231,15 @@ def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
         total = np.zeros(len(finder.wanted), dtype=np.int64)
         for batch in slices(batches):
             words, first = words_of(batch.column("text"))
-            at, which = finder(grams_of(words))
-            text = np.searchsorted(first, at, side="right") - 1
-            inside = at + GRAM <= first[text + 1]
-            pairs = np.unique(text[inside] * len(total) + which[inside])
+            text, _, which = found_pairs(finder, words, first)
+            pairs = np.unique(text * len(total) + which)
             total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["pair", "n"])
 
     counts = np.zeros(len(items.all.wanted), dtype=np.int64)
-    for gram, n in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-        counts[gram] = n
+    for pair, n in docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        counts[pair] = n
     return counts
 
 
@@ -188,17 +248,14 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, score double, first_word long, last_word long"
     spark, out = docs.sparkSession, None
     for items in blocks(benchmark):
-        items.seed(gram_counts(docs, items))
+        items.seed(pair_counts(docs, items))
         held = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own = held.value
             for batch in slices(batches):
                 words, first = words_of(batch.column("text"))
-                at, which = own.seeds(grams_of(words))
-                text = np.searchsorted(first, at, side="right") - 1
-                inside = at + GRAM <= first[text + 1]
-                at, which, text = at[inside], which[inside], text[inside]
+                text, at, which = found_pairs(own.seeds, words, first)
                 rows = []
                 for i in np.unique(text):
                     a, b = np.searchsorted(text, (i, i + 1))

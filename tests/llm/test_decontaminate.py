@@ -90,3 +90,42 @@ def test_seeds_are_the_rarer_grams():
     rare = np.sort(items.all.wanted[np.argsort(counts)][: int(np.ceil(d.SEEDS * 38))])
     assert items.seeds.wanted.tolist() == rare.tolist()
     assert d.words_of(pa.array(["a b", None]))[1].tolist() == [0, 2, 2]
+
+
+def edited(rng, words, share, fresh):
+    """A copy in which so large a share of words is replaced, dropped or has a new word before it."""
+    out = []
+    for w in words:
+        kind = rng.choice("rrrdi") if rng.random() < share else ""
+        out += [fresh()] if kind == "r" else [] if kind == "d" else [fresh(), w] if kind == "i" else [w]
+    return out
+
+
+def test_edited_copies_equal_alignment_of_every_pair(spark, documents):
+    rng, new = random.Random(4), iter(range(10**9))
+    fresh = lambda: f"new{next(new)}"
+    lengths = [5, 6, 7, 9, 12, 16, 24, 24, 40, 40, 60, 60]
+    items = [[rng.choice(["the", "of", f"i{k}w{j}"]) if rng.random() < 0.3 else f"i{k}w{j}" for j in range(n)] for k, n in enumerate(lengths)]
+    docs = [[fresh(), *edited(rng, items[k], share, fresh), fresh()] for k in range(len(items)) for share in (0.2, 0.2, 0.25, 0.25, 0.35)]
+    # every fourth word replaced, every third one, the middle of five, and a new word after each word
+    docs += [[fresh() if j % 4 == 3 else w for j, w in enumerate(items[8])], [fresh() if j % 3 == 2 else w for j, w in enumerate(items[10])]]
+    docs += [[fresh() if j == 2 else w for j, w in enumerate(items[0])], [x for w in items[9] for x in (w, fresh())]]
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], ITEMS)
+    brute = {(i, k): slow_align(item, words) / (d.MATCH * len(item)) for i, words in enumerate(docs) for k, item in enumerate(items)}
+    brute = {k: v for k, v in brute.items() if v >= d.THRESHOLD}
+    found = {(r.doc_id, r.item_id): r.score for r in d.find(documents(*(" ".join(x) for x in docs)), benchmark).collect()}
+    assert found == brute
+    assert {(len(docs) - 4, 8), (len(docs) - 3, 10), (len(docs) - 2, 0), (len(docs) - 1, 9)} <= set(found)
+
+
+def test_a_match_has_at_least_so_many_pairs():
+    rng = random.Random(5)
+    for _ in range(3000):
+        n, letters = rng.randint(5, 14), rng.choice((3, 8, 30))
+        item = np.array([rng.randrange(letters) for _ in range(n)], np.uint64)
+        text = np.array(edited(rng, item.tolist(), rng.choice((0.2, 0.4, 0.6)), lambda: rng.randrange(letters)), np.uint64)
+        if slow_align(item.tolist(), text.tolist()) >= d.THRESHOLD * d.MATCH * n:
+            there = np.concatenate([d.pairs_of(text, 1), d.pairs_of(text, 2)])
+            hits = np.isin(d.pairs_of(item, 1), there)
+            hits[:-1] |= np.isin(d.pairs_of(item, 2), there)
+            assert hits.sum() >= d.least_pairs(n)
