@@ -1,16 +1,20 @@
 """License phrases and license notices in texts.
 
 Phrases are found at every place where their words stand one after another. Notices are found by an
-exact set-similarity join of text blocks (lines) with templates: a block matches a template if it holds
-at least THRESHOLD of the template's distinct words. Words are ordered by their frequency in the whole
-corpus, rarest first, which is counted for the templates' words in a pass of its own.
+exact set-similarity join of text blocks with templates. A block is any run of ROOM times a template's
+length in words, whatever the line ends in it; it matches the template if it holds at least THRESHOLD
+of the template's distinct words, all words that tell it from other templates, and none that tells
+another one from it (APART). The text's words as a whole are joined with the templates first, and the
+blocks of a text are only looked at for templates that this leaves. Words are ordered by their frequency
+in the whole corpus, rarest first, which is counted for the templates' words in a pass of its own.
 
 - Prefix filter: a match must hold one of a template's first (n - needed + 1) words in that order.
 - Length filter: a block needs at least as many distinct words as the template needs matches.
 - Positional filter: a match first seen at place i of the template's order, and at place j among the
   block's template words in the same order, can reach at most 1 + min(words left in either).
 
-All three only drop pairs that can't reach the threshold, so no block is missed. Templates are a
+All three only drop pairs that can't reach the threshold, and a text holds all words of its blocks, so
+no block is missed. Templates are a
 constant of the program, and so are the word counts that travel to the driver.
 
 Defined cases: null and empty texts have no words, no places and score 0; repeated rows are scanned
@@ -20,7 +24,7 @@ alike; an empty table gives no rows; further columns stay unused.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import ceil
 
@@ -50,6 +54,20 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: A block's length in words as a multiple of the template's.
+ROOM = 1.25
+#: By label, the words that a block must hold and those that it must not.
+APART = {
+    "agpl-3.0": ({"affero"}, set()),
+    "apache-2.0": ({"apache"}, set()),
+    "cc-by-nc-4.0": ({"nc"}, {"sa", "nd"}),
+    "cc-by-sa-4.0": ({"sa"}, {"nc", "nd"}),
+    "gpl-2.0": ({"general", "2"}, {"affero", "lesser"}),
+    "gpl-3.0": ({"general", "3"}, {"affero", "lesser"}),
+    "lgpl": ({"lesser"}, {"affero"}),
+    "mit": ({"mit"}, set()),
+    "mpl-2.0": ({"mozilla"}, set()),
+}
 
 
 def words_of(text: str) -> list[str]:
@@ -70,12 +88,14 @@ def places(joined: str, phrases: dict[str, str]) -> list[tuple[int, str]]:
 class Join:
     """Templates indexed under a global order of their words."""
 
-    def __init__(self, templates: dict[str, str], counts: dict[str, int], threshold: float = THRESHOLD):
+    def __init__(self, templates: dict[str, str], counts: dict[str, int], threshold: float = THRESHOLD, apart: dict[str, tuple[set[str], set[str]]] = APART):
         sets = {k: set(words_of(v)) for k, v in templates.items()}
         self.rank = {w: i for i, w in enumerate(sorted(set().union(*sets.values()), key=lambda w: (counts.get(w, 0), w)))}
         self.sets = sets
         self.order = {k: sorted(x, key=self.rank.__getitem__) for k, x in sets.items()}
         self.needed = {k: ceil(threshold * len(x) - 1e-9) for k, x in sets.items()}
+        self.room = {k: ceil(ROOM * len(words_of(v))) for k, v in templates.items()}
+        self.apart = {k: apart.get(k, (set(), set())) for k in templates}
         self.index: dict[str, list[tuple[str, int]]] = {}
         for k, x in self.order.items():
             for i, w in enumerate(x[: len(x) - self.needed[k] + 1]):
@@ -98,6 +118,33 @@ class Join:
                     found[k] = same / len(self.sets[k])
         return found
 
+    def block_matches(self, words: list[str]) -> dict[str, float]:
+        """The greatest containment by label of the templates that some block of a text's words matches."""
+        found = {k: self.best(k, words) for k in self.matches(set(words))}
+        return {k: n / len(self.sets[k]) for k, n in found.items() if n}
+
+    def best(self, k: str, words: list[str]) -> int:
+        """The most distinct words of template k in a block that matches it, or 0."""
+        own, (needed, barred) = self.sets[k], self.apart[k]
+        block: deque[tuple[int, str]] = deque()
+        held: Counter[str] = Counter()
+        best = 0
+        for at, w in enumerate(words):
+            if w in barred:
+                block.clear()
+                held.clear()
+            elif w in own:
+                block.append((at, w))
+                held[w] += 1
+                while at - block[0][0] >= self.room[k]:
+                    old = block.popleft()[1]
+                    held[old] -= 1
+                    if not held[old]:
+                        del held[old]
+                if len(held) > best and len(held) >= self.needed[k] and needed <= held.keys():
+                    best = len(held)
+        return best
+
 
 def word_counts(docs: DataFrame, words: set[str]) -> dict[str, int]:
     """How often each of a fixed set of words stands in the whole corpus."""
@@ -121,10 +168,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
         found = places(f" {' '.join(words)} ", phrases)
         base, best, more = {x for _, x in found}, 1.0 if found else 0.0, set()
         if not join.rare.isdisjoint(words):
-            for line in text.split("\n"):
-                for label, share in join.matches(set(words_of(line))).items():
-                    more.add(label)
-                    best = max(best, share)
+            for label, share in join.block_matches(words).items():
+                more.add(label)
+                best = max(best, share)
         starts = [x for x, _ in found]
         return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), best
 

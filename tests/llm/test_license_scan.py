@@ -58,3 +58,38 @@ def test_scan(documents):
     assert (found[5].n_base, found[5].score) == (0, 0.0)
     assert (found[6].first_word, found[6].last_word) == (40_000, 40_000)
     assert s.scan(docs.limit(0)).count() == 0
+
+
+def test_blocks_equal_brute_force():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(12)]
+    templates = {f"t{i}": " ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 8))) for i in range(8)}
+    apart = {k: ({rng.choice(v.split())}, {rng.choice(vocabulary)} - set(v.split())) for k, v in templates.items() if rng.random() < 0.6}
+    join, hits = s.Join(templates, {}, 0.8, apart), 0
+    for _ in range(400):
+        words = [rng.choice([*vocabulary, "x", "y"]) for _ in range(rng.randint(0, 40))]
+        want = {}
+        for k, v in templates.items():
+            own, (needed, barred) = set(v.split()), apart.get(k, (set(), set()))
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + join.room[k]) + 1):
+                    block = set(words[a:b])
+                    share = len(own & block) / len(own)
+                    if share >= 0.8 - 1e-12 and needed <= block and not barred & block:
+                        want[k] = max(want.get(k, 0), share)
+        assert join.block_matches(words) == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_wrapped_notices_and_near_equal_templates(documents):
+    cases = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "mit-text",
+        "Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or without\nfee is hereby granted": "isc",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-SA 4.0.": "cc-by,cc-by-nc-4.0,cc-by-sa-4.0",
+        "Released under the BSD License.": "", "mit " + "x " * 5_000 + "released under the " + "x " * 5_000 + "license": "",
+    }
+    cases |= {s.TEMPLATES[k]: f"{k},gpl" if "gpl" in k and k != "gpl" else k for k in ("agpl-3.0", "gpl-2.0", "gpl-3.0", "lgpl", "mit", "apache-2.0", "mpl-2.0", "unlicense", "cc0-1.0", "bsd")}
+    cases["This work is licensed under the GNU Lesser General Public License, version 3."] = "gpl,lgpl"
+    found = {r.doc_id: r.labels for r in s.scan(documents(*cases)).collect()}
+    assert [found[i] for i in range(len(cases))] == [",".join(sorted(filter(None, v.split(",")))) for v in cases.values()]
