@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import time
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heathgrid.shared import cut
+
 #: A word of the contracts: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -24,38 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; sets one only where none is named, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/heathgrid-checkpoints")
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there from now on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
-    """df as a table in the shared folder.
-
-    Shuffle files of the work up to here go when the driver collects its garbage, so it's told to. They
-    can't go while the caller still holds the DataFrame that was written: a function that makes it lets go.
-    """
-    df = df() if callable(df) else df
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    del df
-    for _ in range(2):  # the first makes Python let go of the JVM's objects, which it does in its own time
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(at)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

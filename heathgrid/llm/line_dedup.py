@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heathgrid.llm.common import written
+from heathgrid.shared import written
 
 MOST_EDITS = 2
 LEAST_CHARS = 32
@@ -145,7 +145,7 @@ def near_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
     key keeps them, and only their lines' texts are fetched. The join asks whether there is an earlier
     line, and verifies inside, so a group of many alike lines makes no more rows than it has.
     """
-    shared = written(lambda: shared_keys(docs, places))
+    shared = written(shared_keys(docs, places))
     text = chosen(docs, shared.select("place.doc", "place.at").distinct())
     text = text.select(F.struct("doc", "at").alias("place"), "line", "n", counts(COUNTED[0]).alias("c1"), counts(COUNTED[1]).alias("c2"))
     rows = shared.join(text, "place")
@@ -156,7 +156,7 @@ def near_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """docs with its_first (numbers of the lines that it is the first to hold) and its_near (those of them that a similar line precedes)."""
-    places = written(lambda: firsts(docs))
+    places = written(firsts(docs))
     near = near_lines(docs, places).withColumn("near", F.lit(True))
     first = places.withColumn("near", F.lit(False))
     by_doc = first.union(near).groupBy(F.col("doc").alias("its_doc")).agg(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heathgrid.llm import byte_bpe, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, toxicity
-from heathgrid.llm.common import shared_folder, table
+from heathgrid.llm.common import table
+from heathgrid.shared import shared_folder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The first id that the vocabulary leaves free.

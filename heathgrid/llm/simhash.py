@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heathgrid.llm.common import ASCII_LOWER, WORD, components, cut, slices, texts_of
+from heathgrid.llm.common import ASCII_LOWER, WORD, components, slices, texts_of
+from heathgrid.shared import cut
 
 SEED = 42
 MOST_BITS = 4

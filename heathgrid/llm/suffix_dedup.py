@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heathgrid.llm.byte_features import BASE, hashes, mixed
-from heathgrid.llm.common import bytes_of, shuffle_partitions, slices, written
+from heathgrid.llm.common import bytes_of, shuffle_partitions, slices
+from heathgrid.shared import written
 
 LENGTH, TRIGGER = 50, 16
 #: Bytes of a text that are parsed at once; longer texts are parsed in parts, which only cuts some phrases in two.
@@ -360,8 +361,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = min(1 << 16, 2 * shuffle_partitions(docs.sparkSession))  # of half a partition's size, as a task holds a whole one
     kinds = "doc_id long, repeated binary, asked array<struct<bucket: bigint, data: binary>>"
     # neighbouring documents share rows until all buckets meet, or each bucket would make a row of each document
-    settled = written(lambda: places(docs, buckets).groupBy("bucket").applyInArrow(settle, "bucket long, `group` long, repeated binary, asked binary").groupBy("group").applyInArrow(gather, kinds))
-    compared = written(lambda: compare_asked(docs, settled))
+    settled = written(places(docs, buckets).groupBy("bucket").applyInArrow(settle, "bucket long, `group` long, repeated binary, asked binary").groupBy("group").applyInArrow(gather, kinds))
+    compared = written(compare_asked(docs, settled))
     return settled.where("repeated is not null").select("doc_id", "repeated").union(compared)
 
 

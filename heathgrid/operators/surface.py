@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heathgrid.functions.num import clamp01
 from heathgrid.operators.stencil import NINE, box_sums, nine
+from heathgrid.shared import cut
 
 #: Share of a window that must be known, and how far its known cells' centroid may lie off, in radii.
 TPI_QUORUM, TPI_OFFSET, VRM_QUORUM = 0.5, 0.05, 0.75
@@ -112,14 +113,11 @@ def fill_pass(cells: DataFrame) -> DataFrame:
 
 def fill_voids(cells: DataFrame, passes: int = 8) -> DataFrame:
     """fill_pass, up to so many times, until it fills nothing more; each pass is checkpointed."""
-    context = cells.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/heathgrid-checkpoints")  # no cluster has named one: tests
     left = cells.where("z is null").count()
     for _ in range(passes):
         if not left:
             break
-        cells = fill_pass(cells).checkpoint()
+        cells = cut(fill_pass(cells))
         now = cells.where("z is null").count()
         if now == left:
             break

@@ -120,7 +120,7 @@ def selection_readout(spark, sf_dir):
     return selection.readout(_analysis(spark, sf_dir, "slope"))
 
 
-@query("with t(used, total, p) as (select l_linenumber, 40, 0.02 * l_linenumber from lineitem where l_orderkey <= 400) select used::bigint as used, count(*) as n, round(max(used / 40.0::double / p * exp(-1.96 * sqrt((1 - used / 40.0::double) / used))), 6) as low, round(max(used / 40.0::double / p * exp(1.96 * sqrt((1 - used / 40.0::double) / used))), 6) as high from t group by used")
+@query("with t(used, total, p) as (select l_linenumber, 40, 0.02 * l_linenumber from lineitem) select used::bigint as used, count(*) as n, round(max(used / 40.0::double / p * exp(-1.96 * sqrt((1 - used / 40.0::double) / used))), 6) as low, round(max(used / 40.0::double / p * exp(1.96 * sqrt((1 - used / 40.0::double) / used))), 6) as high from t group by used")
 def selection_ci(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").cast("bigint").alias("used"))
     rows = rows.withColumn("i", selection.ratio_interval(F.col("used"), F.lit(40.0), F.col("used") * 0.02))

@@ -65,7 +65,7 @@ def boxes(spark, sf_dir):
     return p.select("id", F.col("lng").alias("west"), F.col("lat").alias("south"), (F.col("lng") + 12.0).alias("east"), (F.col("lat") + 7.0).alias("north"))
 
 
-_SPANS = "sp as (select id, lat as south, lat + 7 as north, lng as west, case when lng + 12 > 180 then 180 else lng + 12 end as east from p where id <= 40 union all select id, lat, lat + 7, -180, lng + 12 - 360 from p where id <= 40 and lng + 12 > 180)"
+_SPANS = "sp as (select id, lat as south, lat + 7 as north, lng as west, case when lng + 12 > 180 then 180 else lng + 12 end as east from p union all select id, lat, lat + 7, -180, lng + 12 - 360 from p where lng + 12 > 180)"
 _RANGE = "rg as (select id, z, least(greatest(floor((west + 180) / 360 * pow(2, z)), 0), pow(2, z) - 1)::bigint as x0, least(greatest(floor((east + 180) / 360 * pow(2, z)), 0), pow(2, z) - 1)::bigint as x1, floor({n})::bigint as y0, floor({s})::bigint as y1 from sp, (values (5), (7)) v(z))".format(n=TILE_Y.format(lat="north", z="z"), s=TILE_Y.format(lat="south", z="z"))
 _TILES = f"{PLACES}, {_SPANS}, {_RANGE}, ti as (select distinct id, z, x, y from (select id, z, unnest(range(x0, x1 + 1)) as x, y0, y1 from rg), lateral (select unnest(range(y0, y1 + 1)) as y))"
 

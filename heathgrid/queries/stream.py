@@ -7,21 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heathgrid.shared import shared_folder
 from heathgrid.streaming import log
 
 QUERIES, ORACLE = {}, {}
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream writes, as a table in the shared folder, until its source is used up."""
+    """What the stream writes, as a table in the shared folder, until its source is used up; a batch that runs again replaces what it wrote."""
     spark = stream.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/heathgrid-checkpoints")  # no cluster has named one: tests
-    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    write = lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/table")
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{at}/table/its_batch={i if mode == 'append' else 0}")
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/table")
+    return spark.read.parquet(f"{at}/table").drop("its_batch")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
