@@ -33,12 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
 _held: list[list[str]] = [[]]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, which stays until the block of scratch() around it ends, or until release()."""
+def written(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder, which stays until the block of scratch() around it ends, or until release().
+
+    With a list, its name goes there and the caller drops it.
+    """
     spark = df.sparkSession
     name = f"scratch_{uuid.uuid4().hex}"
     spark.sql(f"create database {name} location '{shared_folder(spark)}/{name}'")
-    _held[-1].append(name)
+    (_held[-1] if held is None else held).append(name)
     before = spark.conf.get(FREED, "false")
     spark.conf.set(FREED, "true")
     try:
@@ -58,6 +61,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         drop(spark, _held.pop())
 
 
+def keep(names: list[str]) -> None:
+    """Leave tables to the block of scratch() around, or to release()."""
+    _held[-1].extend(names)
+
+
 def release(spark: SparkSession) -> None:
     """Drop the tables written outside any block of scratch(); results that read them must be on disk by then."""
     drop(spark, _held[0])
