@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from heathgrid.llm.byte_features import LETTERS, LOWER, hashes, mixed, spans
 from heathgrid.llm.common import bytes_of, slices
+from heathgrid.shared import fresh
 
 GRAM = 3
 SHORTEST = 5
@@ -273,5 +274,6 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no test item, with docs' own columns."""
-    dirty = find(docs, benchmark).select(F.col("doc_id").alias("its_doc")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("its_doc")), "left_anti").select(*docs.columns)
+    (own,) = fresh(docs, "its_doc")
+    dirty = find(docs, benchmark).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti").select(*docs.columns)

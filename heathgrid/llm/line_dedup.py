@@ -197,7 +197,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines that go taken out of its texts, and n_chars, if there is one, to match."""
-    out = rewritten(docs).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # in a struct, further columns can't meet the names used on the way
+    packed = docs.select("doc_id", "text", *([F.struct(*rest).alias("rest")] if rest else []))
+    out = rewritten(packed).select(*packed.columns)
+    out = out.select(*(F.col("rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns))
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heathgrid.llm.common import ASCII_LOWER, WORD, components, slices, texts_of
-from heathgrid.shared import cut
+from heathgrid.shared import cut, fresh
 
 SEED = 42
 MOST_BITS = 4
@@ -114,5 +114,6 @@ def group(docs: DataFrame, size: int = 4) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 4) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group, with docs' own columns."""
-    kept = group(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("its_doc"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("its_doc")), "left_semi").select(*docs.columns)
+    (own,) = fresh(docs, "its_doc")
+    kept = group(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").select(*docs.columns)

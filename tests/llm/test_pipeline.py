@@ -5,34 +5,15 @@ import numpy as np
 import public_tokenizers as P
 import test_decontaminate
 import test_line_dedup
+import test_quality_rules
 import tiktoken
+from pyspark.sql import functions as F
 
-from heathgrid.llm import byte_bpe, decontaminate, quality_rules, simhash
-
-
-def quantile(values, a, b):
-    values = sorted(values)
-    return next(v for i, v in enumerate(values, 1) if b * i >= a * len(values))
-
-
-def rates(text):
-    n_words, chars, symbols, dup, repeat, n_lines, capitals = quality_rules.measure(text)
-    per = lambda a, b: min(1000, 1000 * a // max(1, b))
-    return {"symbols": per(symbols, chars), "dup_lines": per(dup, n_lines), "repeats": per(repeat, n_words), "capitals": per(capitals, n_words)}
+from heathgrid.llm import byte_bpe, decontaminate, simhash
 
 
 def brute(rows, items):
-    groups = {}
-    for _, text, lang, source in rows:
-        if text and text.split():
-            for k, v in rates(text).items():
-                groups.setdefault((lang, source, k), []).append(v)
-    most = {g: quantile(v, 1, 2) + quality_rules.SPREAD * (quantile(v, 3, 4) - quantile(v, 1, 2)) + quality_rules.RATES[g[2]] for g, v in groups.items()}
-    kept = []
-    for doc, text, lang, source in rows:
-        n_words, _, _, _, repeat, *_ = quality_rules.measure(text or "")
-        if n_words >= 50 and 2 * repeat <= n_words and all(v <= most[lang, source, k] for k, v in rates(text).items()):
-            kept.append((doc, text, lang, source))
+    kept = test_quality_rules.brute(rows)
     new = test_line_dedup.brute(kept)
     kept = [(doc, new[doc][0], *rest) for doc, _, *rest in kept]
     prints = {doc: simhash.fingerprint(text, 5) for doc, text, *_ in kept}
@@ -86,3 +67,19 @@ def test_stages_keep_the_columns(spark, documents, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_take_further_columns_of_any_name(spark, documents, tmp_path):
+    names = ["its_doc", "its_first", "its_near", "its_zip", "its_parts", "its_lines", "measures", "kept", "in_lang", "fp", "first", "label", "component_id", "item_id", "score"]
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    docs = documents((1, text, "en", "s"), (2, text, "en", "s"), (3, text.replace("w", "v"), None, None), (4, None, "en", "s"))
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    found = docs.collect()
+    assert {r.doc_id for r in found} == {1, 2, 3} and all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in found)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {1, 2, 3}
