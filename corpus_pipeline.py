@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heathgrid.llm import byte_bpe, decontaminate, line_dedup, quality_rules, simhash
-from heathgrid.llm.common import table, written
+from heathgrid.llm.common import table
 from heathgrid.llm.registry import VOCABULARY
+from heathgrid.shared import drop, keep, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes once the next one is written; the last one stays until release()."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), held)
+        drop(spark, held[:-1])
+        del held[:-1]
+    keep(held)
     return STAGES[-1][1](spark, docs, sf_dir)
