@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heathgrid.functions.num import clamp, wrap
+from heathgrid.functions.num import clamp, let, wrap
 
 STANDARD_NOON = 2451545.0
 
@@ -31,28 +31,46 @@ def julian_day(ts: Column) -> Column:
 
 
 def sun(ts: Column, lat: Column, lng: Column) -> Column:
-    """Struct of altitude and azimuth in degrees, by the low-precision almanac series in centuries since 2000."""
-    t = (julian_day(ts) - STANDARD_NOON) / F.lit(36525.0)
-    # fixed values: coefficients of the published series
-    mean_long = wrap(poly(t, 280.46646, 36000.76983, 0.0003032), 360)
-    anomaly = F.radians(poly(t, 357.52911, 35999.05029, -0.0001537))
-    centre = F.sin(anomaly) * poly(t, 1.914602, -0.004817, -0.000014) + F.sin(anomaly * 2) * poly(t, 0.019993, -0.000101) + F.sin(anomaly * 3) * 0.000289
-    node = F.radians(poly(t, 125.04, -1934.136))
-    apparent = F.radians(mean_long + centre - 0.00569 - F.sin(node) * 0.00478)
-    tilt = F.radians(poly(t, 23 + 26 / 60 + 21.448 / 3600, -46.815 / 3600, -0.00059 / 3600, 0.001813 / 3600) + F.cos(node) * 0.00256)
-    declination = F.asin(F.sin(tilt) * F.sin(apparent))
-    y, e, long2 = F.pow(F.tan(tilt / 2), F.lit(2.0)), poly(t, 0.016708634, -0.000042037, -0.0000001267), F.radians(mean_long) * 2
-    equation = F.degrees(
-        y * F.sin(long2) - e * F.sin(anomaly) * 2 + e * y * F.sin(anomaly) * F.cos(long2) * 4 - y * y * F.sin(long2 * 2) * 0.5 - e * e * F.sin(anomaly * 2) * 1.25
-    ) * 4
+    """Struct of altitude and azimuth in degrees, by the low-precision almanac series in centuries since 2000.
+
+    Every stage of the series is bound once, so that the plan grows with the formula and not with its uses.
+    """
     minutes = F.hour(ts) * 60 + F.minute(ts) + F.second(ts) / F.lit(60.0)
-    hour_angle = wrap(minutes + equation + lng * 4, 1440) / 4 - 180
-    lat_r, h = F.radians(lat), F.radians(hour_angle)
-    zenith = F.acos(clamp(F.sin(lat_r) * F.sin(declination) + F.cos(lat_r) * F.cos(declination) * F.cos(h), -1, 1))
-    base = F.cos(lat_r) * F.sin(zenith)
-    side = F.degrees(F.acos(clamp((F.sin(lat_r) * F.cos(zenith) - F.sin(declination)) / F.when(F.abs(base) > 1e-9, base), -1, 1)))
-    azimuth = F.when(F.abs(base) > 1e-9, wrap(F.when(hour_angle > 0, side + 180).otherwise(F.lit(540.0) - side), 360)).otherwise(F.when(lat > 0, 180.0).otherwise(0.0))
-    return F.struct((F.lit(90.0) - F.degrees(zenith)).alias("altitude"), azimuth.alias("azimuth"))
+
+    def series(t: Column) -> Column:
+        # fixed values: coefficients of the published series
+        anomaly, node = F.radians(poly(t, 357.52911, 35999.05029, -0.0001537)), F.radians(poly(t, 125.04, -1934.136))
+        mean_long = wrap(poly(t, 280.46646, 36000.76983, 0.0003032), 360)
+        return let(F.struct(t.alias("t"), anomaly.alias("anomaly"), node.alias("node"), mean_long.alias("mean_long")), orbit)
+
+    def orbit(s: Column) -> Column:
+        t, anomaly, node, mean_long = (s[k] for k in ("t", "anomaly", "node", "mean_long"))
+        centre = F.sin(anomaly) * poly(t, 1.914602, -0.004817, -0.000014) + F.sin(anomaly * 2) * poly(t, 0.019993, -0.000101) + F.sin(anomaly * 3) * 0.000289
+        apparent = F.radians(mean_long + centre - 0.00569 - F.sin(node) * 0.00478)
+        tilt = F.radians(poly(t, 23 + 26 / 60 + 21.448 / 3600, -46.815 / 3600, -0.00059 / 3600, 0.001813 / 3600) + F.cos(node) * 0.00256)
+        e, long2 = poly(t, 0.016708634, -0.000042037, -0.0000001267), F.radians(mean_long) * 2
+        return let(F.struct(anomaly.alias("anomaly"), apparent.alias("apparent"), tilt.alias("tilt"), e.alias("e"), long2.alias("long2"), F.pow(F.tan(tilt / 2), F.lit(2.0)).alias("y")), clock)
+
+    def clock(s: Column) -> Column:
+        anomaly, e, long2, y = (s[k] for k in ("anomaly", "e", "long2", "y"))
+        equation = F.degrees(
+            y * F.sin(long2) - e * F.sin(anomaly) * 2 + e * y * F.sin(anomaly) * F.cos(long2) * 4 - y * y * F.sin(long2 * 2) * 0.5 - e * e * F.sin(anomaly * 2) * 1.25
+        ) * 4
+        hour_angle = wrap(minutes + equation + lng * 4, 1440) / 4 - 180
+        return let(F.struct(hour_angle.alias("hour_angle"), F.asin(F.sin(s["tilt"]) * F.sin(s["apparent"])).alias("declination"), F.radians(lat).alias("lat")), height)
+
+    def height(s: Column) -> Column:
+        zenith = F.acos(clamp(F.sin(s["lat"]) * F.sin(s["declination"]) + F.cos(s["lat"]) * F.cos(s["declination"]) * F.cos(F.radians(s["hour_angle"])), -1, 1))
+        return let(F.struct(s["hour_angle"].alias("hour_angle"), s["declination"].alias("declination"), s["lat"].alias("lat"), zenith.alias("zenith")), place)
+
+    def place(s: Column) -> Column:
+        base = F.cos(s["lat"]) * F.sin(s["zenith"])
+        side = F.degrees(F.acos(clamp((F.sin(s["lat"]) * F.cos(s["zenith"]) - F.sin(s["declination"])) / F.when(F.abs(base) > 1e-9, base), -1, 1)))
+        turned = wrap(F.when(s["hour_angle"] > 0, side + 180).otherwise(F.lit(540.0) - side), 360)
+        azimuth = F.when(F.abs(base) > 1e-9, turned).otherwise(F.when(lat > 0, 180.0).otherwise(0.0))
+        return F.struct((F.lit(90.0) - F.degrees(s["zenith"])).alias("altitude"), azimuth.alias("azimuth"))
+
+    return let((julian_day(ts) - STANDARD_NOON) / F.lit(36525.0), series)
 
 
 def insolation(slope: Column, aspect: Column, altitude: Column, azimuth: Column) -> Column:

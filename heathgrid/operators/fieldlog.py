@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +62,28 @@ def replayed(mutations: DataFrame, entities: DataFrame) -> DataFrame:
     """mutations (entity_id, seq, base_version) with status and version: applied in order of seq against entities (id, version).
 
     A mutation applies if its base version is the entity's at that moment and then raises it by one; else
-    it's a conflict that carries the entity's version. The state of an entity is a fold over its own
-    mutations, so entities run apart.
+    it's a conflict that carries the entity's version. The state is one number, so an entity's mutations
+    stream past it in order; entities run apart, and none has to fit in memory. Repeated rows each apply
+    in turn; a null base version is a conflict, and an entity that isn't there gives `missing`.
     """
-    start = entities.select(F.col("id").alias("entity_id"), F.col("version").alias("_v"))
-    log = mutations.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "base_version"))).alias("_log"))
-    empty = F.array().cast("array<struct<seq:bigint,base_version:bigint,status:string,version:bigint>>")
-    step = lambda s, m: F.struct(
-        F.when(m["base_version"] == s["v"], s["v"] + 1).otherwise(s["v"]).alias("v"),
-        F.concat(s["done"], F.array(F.struct(m["seq"].cast("bigint").alias("seq"), m["base_version"].cast("bigint").alias("base_version"), F.when(s["v"].isNull(), "missing").when(m["base_version"] == s["v"], "applied").otherwise("conflict").alias("status"), F.when(m["base_version"] == s["v"], s["v"] + 1).otherwise(s["v"]).alias("version")))).alias("done"),
-    )
-    folded = log.join(start, "entity_id", "left").select("entity_id", F.aggregate("_log", F.struct(F.col("_v").cast("bigint").alias("v"), empty.alias("done")), step)["done"].alias("_done"))
-    return folded.select("entity_id", F.explode("_done").alias("r")).select("entity_id", "r.*")
+    start = entities.select(F.col("id").alias("entity_id"), F.col("version").cast("bigint").alias("_v"))
+    log = mutations.select("entity_id", F.col("seq").cast("bigint").alias("seq"), F.col("base_version").cast("bigint").alias("base_version")).join(start, "entity_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, v = object(), None
+        for batch in batches:
+            status, version = [], []
+            for one, base, first in zip(*(batch.column(k).to_pylist() for k in ("entity_id", "base_version", "_v")), strict=True):
+                if one != at:
+                    at, v = one, first
+                hit = v is not None and base == v
+                v = v + 1 if hit else v
+                status.append("missing" if v is None else "applied" if hit else "conflict")
+                version.append(v)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("entity_id", "seq", "base_version")), pa.array(status, pa.string()), pa.array(version, pa.int64())], names=["entity_id", "seq", "base_version", "status", "version"])
+
+    ordered = log.repartition("entity_id").sortWithinPartitions("entity_id", "seq", "base_version")
+    return ordered.mapInArrow(run, f"entity_id {dict(mutations.dtypes)['entity_id']}, seq bigint, base_version bigint, status string, version bigint")
 
 
 def flushed(queue: DataFrame) -> DataFrame:

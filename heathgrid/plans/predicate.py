@@ -35,11 +35,11 @@ def every(*operands: dict) -> dict:
 #: The presets.
 PRESETS = {
     "Bedding benches": every({"kind": "bench", "isBench": True}, within("slope", None, 10)),
-    "Saddles": {"kind": "wood", "features": [3]},
+    "Saddles & crossings": {"kind": "wood", "features": [3]},
     "Midslope drainages": every({"kind": "weiss", "classes": [2]}, within("slope", 3, 30)),
     "Leeward spur points": every({"kind": "weiss", "classes": [9, 8]}, within("windExposure", None, -0.25), within("slope", 10, 35)),
-    "Late-season sun": every(within("insolation", 0.6), within("slope", 5)),
-    "Sidehill": within("slope", 8, 20),
+    "Late-season sun slopes": every(within("insolation", 0.6), within("slope", 5)),
+    "Sidehill walkable grade": within("slope", 8, 20),
     "Thermal sinks": every(within("curvaturePlan", None, -0.001), within("skyView", None, 0.72)),
 }
 

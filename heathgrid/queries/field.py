@@ -345,4 +345,4 @@ def bedding(spark, sf_dir):
 def area_share(spark, sf_dir):
     from heathgrid.plans import analyze, predicate
 
-    return analyze.area_share(r.raster(spark, sf_dir), predicate.PRESETS["Sidehill"], r.CELL, 9).withColumn("share", F.round("share", 6))
+    return analyze.area_share(r.raster(spark, sf_dir), predicate.PRESETS["Sidehill walkable grade"], r.CELL, 9).withColumn("share", F.round("share", 6))

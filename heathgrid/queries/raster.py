@@ -300,9 +300,9 @@ CASES = {
     "any of none": ({"kind": "any", "operands": []}, "false"),
     "absent field": ({"kind": "range", "metric": "skyView", "min": 0}, "false"),
     "Leeward spur points": (predicate.PRESETS["Leeward spur points"], "weiss in (8, 9) and coalesce(wind_exposure <= -0.25, false) and coalesce(slope between 10 and 35, false)"),
-    "Late-season sun": (predicate.PRESETS["Late-season sun"], "coalesce(insolation >= 0.6 and slope >= 5, false)"),
-    "Sidehill": (predicate.PRESETS["Sidehill"], "coalesce(slope between 8 and 20, false)"),
-    "Saddles": (predicate.PRESETS["Saddles"], "wood = 3"),
+    "Late-season sun": (predicate.PRESETS["Late-season sun slopes"], "coalesce(insolation >= 0.6 and slope >= 5, false)"),
+    "Sidehill": (predicate.PRESETS["Sidehill walkable grade"], "coalesce(slope between 8 and 20, false)"),
+    "Saddles": (predicate.PRESETS["Saddles & crossings"], "wood = 3"),
     "Midslope drainages": (predicate.PRESETS["Midslope drainages"], "weiss = 2 and coalesce(slope between 3 and 30, false)"),
 }
 
