@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heathgrid.llm.common import ASCII_LOWER, WORD, components, slices, texts_of
@@ -62,41 +62,50 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def unary(v: str) -> str:
-    """SQL of the counts of the two-bit segments of the 32 bits v, each in unary: its bits in order."""
-    low = "1431655765L"  # the low bit of every segment
-    return f"((({v} | shiftright({v}, 1)) & {low}) | shiftleft({v} & shiftright({v}, 1) & {low}, 1))"
+def long(n: int) -> Column:
+    return F.lit(n).cast("long")
 
 
-def half(fp: str, h: str) -> str:
-    """SQL of half h of a fingerprint."""
-    return f"(shiftrightunsigned({fp}, int(32 * ({h}))) & 4294967295L)"
+def unary(v: Column) -> Column:
+    """The counts of the two-bit segments of the 32 bits v, each in unary: its bits in order."""
+    low, up = long(0x55555555), F.shiftright(v, 1)  # the low bit of every segment
+    return v.bitwiseOR(up).bitwiseAND(low).bitwiseOR(F.shiftleft(v.bitwiseAND(up).bitwiseAND(low), 1))
+
+
+def half(fp: Column, h: Column) -> Column:
+    """Half h of a fingerprint."""
+    return F.call_function("shiftrightunsigned", fp, (h * 32).cast("int")).bitwiseAND(long(0xFFFFFFFF))
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of column fp at 4 or fewer differing bits."""
-    halves = nodes.select("fp", F.explode(F.expr(f"array(named_struct('half', 0L, 'p', {unary(half('fp', '0'))}), named_struct('half', 1L, 'p', {unary(half('fp', '1'))}))")).alias("x")).select("fp", "x.*")
+    """Pairs (a, b), a < b, of distinct values of column fp at 4 or fewer differing bits.
+
+    Columns and not SQL text: parsing expressions this deep leaves a hundred megabytes in the driver.
+    """
+    own = [F.struct(long(h).alias("half"), unary(half(F.col("fp"), long(h))).alias("p")) for h in (0, 1)]
+    halves = nodes.select("fp", F.explode(F.array(*own)).alias("x")).select("fp", "x.*")
+    point, one = F.col("p"), long(1)
+    bit = lambda v, k: F.call_function("shiftright", v, k).bitwiseAND(one)
     # a bit may flip if the count stays valid: the low one while the high one is 0, the high one while the low one is 1
-    steps = "filter(sequence(0, 31), b -> if(b % 2 = 0, (shiftright(p, b + 1) & 1) = 0, (shiftright(p, b - 1) & 1) = 1))"
+    steps = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.when(k % 2 == 0, bit(point, k + 1) == 0).otherwise(bit(point, k - 1) == 1))
+    near = F.concat(F.array(point), F.transform(steps, lambda k: point.bitwiseXOR(F.call_function("shiftleft", one, k))))
     # both sides are the same two columns, so they are made and shuffled once; a pair's embedding is made anew from its fingerprints
-    filed = halves.select("fp", F.explode(F.expr(f"transform(concat(array(p), transform({steps}, b -> p ^ shiftleft(1L, b))), z -> half * 4294967296L + z)")).alias("cell"))
+    filed = halves.select("fp", F.explode(F.transform(near, lambda z: F.col("half") * 4294967296 + z)).alias("cell"))
     a, b = filed.alias("a"), filed.alias("b")
-    side = "shiftright(a.cell, 32)"
-    p, q = unary(half("a.fp", side)), unary(half("b.fp", side))
-    o = f"bit_count({unary(half('a.fp', f'1 - {side}'))} ^ {unary(half('b.fp', f'1 - {side}'))})"
-    differ = f"({p} ^ {q})"
-    field = f"(({differ} | shiftright({differ}, 1)) & 1431655765L)"
-    unit = f"({field} & -{field})"
-    both = f"({differ} & ({unit} * 3))"
+    x, y, cell = F.col("a.fp"), F.col("b.fp"), F.col("a.cell")
+    side = F.shiftright(cell, 32)
+    p, q = unary(half(x, side)), unary(half(y, side))
+    there = F.bit_count(unary(half(x, 1 - side)).bitwiseXOR(unary(half(y, 1 - side))))
+    differ = p.bitwiseXOR(q)
+    field = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(long(0x55555555))
+    unit = field.bitwiseAND(-field)
+    both = differ.bitwiseAND(unit * 3)
     # a count of 0 rises by its low bit first, a count of 2 falls by its high bit first
-    step = f"if({both} = {unit} * 3, if(({p} & {unit}) = 0, {unit}, {unit} * 2), {both})"
-    return a.join(
-        b,
-        F.expr(
-            f"a.cell = b.cell and a.fp < b.fp and bit_count({differ}) + {o} <= {MOST_BITS} and bit_count(a.fp ^ b.fp) <= {MOST_BITS}"
-            f" and bit_count({differ}) <= 2 and ({side} = 0 or {o} > 2) and a.cell = {side} * 4294967296L + ({p} ^ {step})"
-        ),
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    step = F.when(both == unit * 3, F.when(p.bitwiseAND(unit) == 0, unit).otherwise(unit * 2)).otherwise(both)
+    here = F.bit_count(differ)
+    linked = (here + there <= MOST_BITS) & (F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS)
+    named = (here <= 2) & ((side == 0) | (there > 2)) & (cell == side * 4294967296 + p.bitwiseXOR(step))
+    return a.join(b, (cell == F.col("b.cell")) & (x < y) & linked & named).select(x.alias("a"), y.alias("b"))
 
 
 def group(docs: DataFrame, size: int = 4) -> DataFrame:
