@@ -104,7 +104,8 @@ def parse_part(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     text = np.searchsorted(offsets, first, side="right") - 1
     return {
         "text": text, "start": first - offsets[text], "size": last - first + LENGTH,
-        "trigger": rolled[(least[first] & keep).astype(np.int64)], "phrase": hashes(flat, first, last + LENGTH),
+        # a smallest value is near zero, so its bits are mixed again before they deal triggers into buckets
+        "trigger": mixed(rolled[(least[first] & keep).astype(np.int64)]), "phrase": hashes(flat, first, last + LENGTH),
     }
 
 

@@ -49,6 +49,14 @@ def test_every_window_lies_in_one_phrase_and_equal_windows_in_equal_triggers():
     assert seen == {(k, i) for k, x in enumerate(texts) for i in range(len((x or "").encode()) - s.LENGTH + 1)}
 
 
+def test_triggers_spread_evenly_over_buckets(documents):
+    rng = random.Random(5)
+    docs = documents(*("".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(40)))
+    held = s.places(docs, 64).select("bucket", F.length("data").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    sizes = [r.n for r in held]
+    assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
+
+
 @pytest.mark.parametrize("seed,letters", [(1, "abcdefgh "), (2, "ab"), (3, "aé ")])
 def test_equals_brute_force(documents, seed, letters):
     rng = random.Random(seed)
