@@ -15,7 +15,7 @@ A suffix array of those dictionary entries, sorted to LENGTH bytes by prefix dou
 next to each other; with the smallest doc_id of each entry from the parse this is the corpus order of
 the windows, and tells for each window the smallest doc_id that has it.
 
-Phrases are told apart by 88 bits of hashes of trigger and whole phrase, beside the bucket; windows by their bytes.
+Phrases are told apart by 112 bits of hashes of trigger and whole phrase, beside the bucket; windows by their bytes.
 
 Distribution: triggers are dealt by hash into buckets, packed as byte columns, so a task holds the places
 of one bucket, and a document's phrases spread over all buckets. Texts move twice, by doc_id: to fetch
@@ -132,7 +132,7 @@ def cuts(keys: np.ndarray) -> np.ndarray:
 
 
 #: Byte widths in packed form: trigger and phrase hashes, number in the row's list of documents, start, size.
-PLACE = [6, 5, 3, 5, 1]
+PLACE = [6, 8, 3, 5, 1]
 #: Start, size; the same with the trigger's rest; with the low bits of doc_id before them, for rows of several documents.
 SPAN, ASKED = [5, 1], [5, 1, 6]
 GROUP_BITS = 7
@@ -147,8 +147,8 @@ def places(docs: DataFrame, buckets: int) -> DataFrame:
             found = parse(*bytes_of(batch.column("text")))
             ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
             bucket = (found["trigger"] >> np.uint64(48)).astype(np.int64) * buckets >> 16
-            # bits of the trigger's and the phrase's hash that the bucket doesn't fix
-            columns = [found["trigger"] & np.uint64((1 << 48) - 1), found["phrase"] >> np.uint64(24), found["text"], found["start"], found["size"]]
+            # of the trigger's hash the bits that the bucket doesn't fix, and the phrase's whole hash
+            columns = [found["trigger"] & np.uint64((1 << 48) - 1), found["phrase"], found["text"], found["start"], found["size"]]
             order = np.argsort(bucket, kind="stable")
             bucket, columns = bucket[order], [x[order] for x in columns]
             edges = cuts(bucket)
