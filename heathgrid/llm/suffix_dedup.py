@@ -185,19 +185,20 @@ def by_doc(docs: np.ndarray, columns: list[np.ndarray], widths: list[int]) -> tu
     return ids, pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
 
 
-#: Parts that a bucket's places are sorted in, to bound memory.
-SHARES = 16
+#: Bytes of packed places that are sorted together; a larger bucket is sorted in parts of about so many.
+SHARE_BYTES = 8 << 20
 
 
 def settle(table: pa.Table) -> pa.Table:
     """bucket, group (of neighbouring doc_ids), repeated, asked: of one bucket's places, those of phrases that a smaller doc_id has, and those of dictionary entries to compare."""
     held = [(np.frombuffer(ids, dtype=np.int64), data) for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True)]
-    share = [(unpack(data, PLACE, last=1)[0] % np.uint64(SHARES)).astype(np.uint8) for _, data in held]
+    shares = 1 + sum(len(data) for _, data in held) // SHARE_BYTES
+    share = [(unpack(data, PLACE, last=1)[0] % np.uint64(shares)).astype(np.uint32) if shares > 1 else None for _, data in held]
     repeats, questions = [], []
-    for k in range(SHARES):
+    for k in range(shares):
         parts = []
         for (ids, data), own in zip(held, share, strict=True):
-            trigger, phrase, number, start, size = unpack(data, PLACE, np.flatnonzero(own == k))
+            trigger, phrase, number, start, size = unpack(data, PLACE, None if own is None else np.flatnonzero(own == k))
             parts.append((trigger, phrase, ids[number.astype(np.int64)], start, size))
         found = settle_share(*(np.concatenate([p[i] for p in parts]) for i in range(5)))
         repeats.append(found[0])

@@ -57,6 +57,23 @@ def test_triggers_spread_evenly_over_buckets(documents):
     assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
 
 
+def test_sorting_a_bucket_in_parts_changes_nothing(documents, monkeypatch):
+    rng = random.Random(6)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(120)) for _ in range(6)]
+    docs = documents(*(rng.choice(shared) + "".join(rng.choice("ab") for _ in range(60)) + rng.choice(shared) for _ in range(60)))
+    bucket = pa.Table.from_pandas(s.places(docs, 1).toPandas(), preserve_index=False)
+
+    def found():
+        out = s.settle(bucket).to_pylist()
+        cut = lambda x, n: sorted(x[k : k + n] for k in range(0, len(x or b""), n))
+        return [(r["group"], cut(r["repeated"], sum(s.SPANS)), cut(r["asked"], sum(s.ASKEDS))) for r in out]
+
+    whole = found()
+    assert any(r[1] for r in whole) and any(r[2] for r in whole)
+    monkeypatch.setattr(s, "SHARE_BYTES", 1000)
+    assert found() == whole
+
+
 @pytest.mark.parametrize("seed,letters", [(1, "abcdefgh "), (2, "ab"), (3, "aé ")])
 def test_equals_brute_force(documents, seed, letters):
     rng = random.Random(seed)
