@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.llm import byte_bpe, centroids, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, simhash, spelling, suffix_dedup, token_files, toxicity
+from heathgrid.llm import byte_bpe, centroids, decontaminate, html_text, license_scan, line_dedup, quality_classifier, quality_rules, simhash, spelling, suffix_dedup, token_files, toxicity
 from heathgrid.llm.common import table
 from heathgrid.shared import shared_folder
 
@@ -76,12 +76,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"), 8, 10, "3", 64)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op3_line_dedup, op4_simhash, op5_quality_rules, op6_toxicity, op7_suffix_dedup, op8_license_scan, op9_byte_bpe, op10_token_counts, op11_spelling_variants, op13_centroid_clustering)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op3_line_dedup, op4_simhash, op5_quality_rules, op6_toxicity, op7_suffix_dedup, op8_license_scan, op9_byte_bpe, op10_token_counts, op11_spelling_variants, op12_html_extraction, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
