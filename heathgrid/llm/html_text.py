@@ -266,11 +266,14 @@ def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if not len(x) or y.min() == y.max():
         return w
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    for _ in range(30):
+    loss = lambda w: (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + DRAWN / 2 * ((w - prior) ** 2).sum()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + DRAWN * (w - prior)
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + DRAWN * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
+        step, now = np.linalg.solve(curve, gradient), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-9:
             break

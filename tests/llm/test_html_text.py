@@ -125,6 +125,9 @@ def test_learning_is_drawn_to_the_prior():
     y = (x[:, 2] < 0).astype(float)
     w = H.train(x, y)
     assert ((x @ w > 0) == y).mean() > 0.95 and w[2] < -1
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
+    gradient = x.T @ (weight * (1 / (1 + np.exp(-(x @ w))) - y)) + H.DRAWN * (w - np.array(H.PRIOR))
+    assert np.abs(gradient).max() < 1e-3  # nothing is cheaper: the loss is convex
 
 
 def test_table(spark):
