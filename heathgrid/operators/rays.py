@@ -1,7 +1,7 @@
-"""Horizons: sky view, shelter and shadows by rays over whole grids, one grid a task.
+"""Horizons: sky view, shelter and shadows by rays, as kernels over a tile with its halo (`mosaic.over_tiles`).
 
 A ray visits the cells whose centres lie nearest to whole steps along a bearing. Each step of all rays of
-one bearing is one shifted array, so a grid costs a numpy pass for each bearing and step. Places outside
+one bearing is one shifted array, so a tile costs a numpy pass for each bearing and step. Places outside
 the grid and unknown heights are gaps; a result that a gap could change is unknown.
 """
 
@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 #: Bearings and reach of the sky view, reach of shelter and shadows in cells, full shelter in degrees.
 SKY_DIRECTIONS, SKY_REACH, SHELTER_REACH, SHADOW_REACH, FULL_SHELTER = 16, 24, 20, 64, 30.0
@@ -66,20 +64,3 @@ def shadow(z: np.ndarray, cell_size: float, azimuth: float, altitude: float, rea
     a, pin = math.radians(azimuth), math.tan(math.radians(altitude))
     most, gap = scan(z, (math.sin(a), -math.cos(a)), reach, cell_size)
     return np.where(np.isnan(z), 2.0, np.where(most > pin, 0.0, np.where(gap, 2.0, 1.0)))
-
-
-def over_grids(cells: DataFrame, kernels: dict[str, tuple]) -> DataFrame:
-    """cells with a column for each name: kernels has (function of heights and arguments, Spark type, arguments)."""
-
-    def run(grid: pd.DataFrame) -> pd.DataFrame:
-        x, y = grid["x"] - grid["x"].min(), grid["y"] - grid["y"].min()
-        z = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
-        z[y, x] = grid["z"].astype(float)
-        out = grid.copy()
-        for name, (kernel, kind, *args) in kernels.items():
-            found = kernel(z, *args)[y, x]
-            out[name] = pd.Series(found, index=grid.index).astype("Int32" if kind == "int" else "Float64").where(~np.isnan(found), pd.NA)
-        return out
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields)
-    return cells.groupBy("grid_id").applyInPandas(run, f"{fields}, " + ", ".join(f"{k} {v[1]}" for k, v in kernels.items()))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heathgrid.functions import solar, wind
-from heathgrid.operators import landform, rays, surface
+from heathgrid.operators import landform, mosaic, rays, surface
+from heathgrid.operators.mosaic import InsufficientHalo
 from heathgrid.plans import predicate
 
 #: Reach in cells of each layer's window.
@@ -21,12 +22,6 @@ WINDY = ("wind_exposure", "shelter", "bedding")
 MADE_BY = {"curvature_profile": "curvature", "curvature_plan": "curvature", "z": "slope"}
 
 
-class InsufficientHalo(ValueError):
-    def __init__(self, required: int, available: int, layers: list[str]):
-        super().__init__(f"{', '.join(layers)}: a halo of {required} cells is needed, {available} are there")
-        self.required, self.available, self.layers = required, available, layers
-
-
 def required_halo(layers: set[str]) -> int:
     return max((REACH.get(x, 1) for x in layers), default=0)
 
@@ -73,7 +68,7 @@ def analyze(cells: DataFrame, layers: set[str], cell_size: float, halo: int, win
         kernels["shelter"] = (rays.shelter, "double", cell_size, wind_from)
     if kernels:
         # the kernels see heights alone; their columns meet the others by cell
-        out = out.join(rays.over_grids(cells.select("grid_id", "x", "y", "z"), kernels).drop("z"), ["grid_id", "x", "y"])
+        out = out.join(mosaic.over_tiles(cells, kernels, max(rays.SKY_REACH if want("sky_view") else 0, rays.SHELTER_REACH if "shelter" in kernels else 0)).drop("z"), ["grid_id", "x", "y"])
     bounds = cells.groupBy("grid_id").agg(*(f(c).alias(f"_{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))))
     inside = F.lit(True)
     for c in "xy":

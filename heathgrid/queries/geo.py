@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heathgrid.functions import geometry, pixels, tiles
 from heathgrid.functions.num import shown
-from heathgrid.operators import cost, fieldlog, rays, surface
+from heathgrid.operators import cost, fieldlog, mosaic, rays, surface
 from heathgrid.queries import raster as r
 
 QUERIES, ORACLE = {}, {}
@@ -202,21 +202,21 @@ _DIRS = [(_math.cos(2 * _math.pi * k / 16), _math.sin(2 * _math.pi * k / 16)) fo
 _WIND = [(_math.sin(_math.radians(r.WIND_FROM)), -_math.cos(_math.radians(r.WIND_FROM)))]
 
 
-@query(f"with {r.CELLS}, {_ray_sql(_DIRS, 8)} select x, y, round(case when not bool_or(gap) then avg(cos(atan(t))) end, 6) as sky_view from h group by x, y")
+@query(f"with {r.CELLS}, {_ray_sql(_DIRS, rays.SKY_REACH)} select x, y, round(case when not bool_or(gap) then avg(cos(atan(t))) end, 6) as sky_view from h group by x, y")
 def sky_view(spark, sf_dir):
-    out = rays.over_grids(r.raster(spark, sf_dir), {"sky_view": (rays.sky_view, "double", r.CELL, 16, 8)})
+    out = mosaic.over_tiles(r.raster(spark, sf_dir), {"sky_view": (rays.sky_view, "double", r.CELL)}, rays.SKY_REACH).where("z is not null")
     return out.select("x", "y", F.round("sky_view", 6).alias("sky_view"))
 
 
-@query(f"with {r.CELLS}, {_ray_sql(_WIND, 8)} select x, y, round(case when not gap or t > tan(radians(30)) then least(1, degrees(atan(coalesce(t, 0))) / 30) end, 6) + 0.0 as shelter from h")
+@query(f"with {r.CELLS}, {_ray_sql(_WIND, rays.SHELTER_REACH)} select x, y, round(case when not gap or t > tan(radians(30)) then least(1, degrees(atan(coalesce(t, 0))) / 30) end, 6) + 0.0 as shelter from h")
 def terrain_shelter(spark, sf_dir):
-    out = rays.over_grids(r.raster(spark, sf_dir), {"shelter": (rays.shelter, "double", r.CELL, r.WIND_FROM, 8)})
+    out = mosaic.over_tiles(r.raster(spark, sf_dir), {"shelter": (rays.shelter, "double", r.CELL, r.WIND_FROM)}, rays.SHELTER_REACH).where("z is not null")
     return out.select("x", "y", shown(F.col("shelter")).alias("shelter"))
 
 
-@query(f"with {r.CELLS}, {_ray_sql([(_math.sin(_math.radians(150)), -_math.cos(_math.radians(150)))], 8)} select x, y, case when t > tan(radians(12)) then 0 when gap then 2 else 1 end as shadow from h")
+@query(f"with {r.CELLS}, {_ray_sql([(_math.sin(_math.radians(150)), -_math.cos(_math.radians(150)))], rays.SHADOW_REACH)} select x, y, case when t > tan(radians(12)) then 0 when gap then 2 else 1 end as shadow from h")
 def cast_shadow(spark, sf_dir):
-    return rays.over_grids(r.raster(spark, sf_dir), {"shadow": (rays.shadow, "int", r.CELL, 150.0, 12.0, 8)}).select("x", "y", "shadow")
+    return mosaic.over_tiles(r.raster(spark, sf_dir), {"shadow": (rays.shadow, "int", r.CELL, 150.0, 12.0)}, rays.SHADOW_REACH).where("z is not null").select("x", "y", "shadow")
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heathgrid.functions import solar, wind
-from heathgrid.operators import landform, rays, surface
+from heathgrid.operators import landform, mosaic, rays, surface
 
 CELL = 10.0
 
@@ -90,7 +90,7 @@ def test_benches_and_small_groups(spark):
 
 def test_shelter_upwind_of_a_plane_and_unknown_ground(spark):
     plane = lambda x, y: math.tan(math.radians(15)) * x + 500
-    found = rays.over_grids(grid(spark, plane), {"s": (rays.shelter, "double", CELL, 90.0, 8), "v": (rays.sky_view, "double", CELL, 16, 4)})
+    found = mosaic.over_tiles(grid(spark, plane), {"s": (rays.shelter, "double", CELL, 90.0, 8), "v": (rays.sky_view, "double", CELL, 16, 4)}, 8)
     assert abs(found.where("x = 16 and y = 16").first().s - 0.5) < 1e-6
     assert found.where("x = 32 and y = 16").first().s is None and found.where("x = 0 and y = 0").first().v is None
 
