@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use).getItem(0)
 
 
+def worked_out(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column whose value is worked out once a row, also where filters and columns above use parts of it several times."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     """c within bounds; NULL stays NULL, which least and greatest alone would skip."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))))

@@ -194,10 +194,10 @@ def cells(binary_files: DataFrame, level: int = 0) -> DataFrame:
     return binary_files.select("path", "content").mapInPandas(run, kinds)
 
 
-def write(z: np.ndarray, tile: int = 16, kind: str = "<f4", predictor: int = 1, no_data: float | None = None) -> bytes:
-    """A small uncompressed tiled file, for fixtures."""
+def encoded(z: np.ndarray, tile: int, dtype: np.dtype, predictor: int) -> list[bytes]:
+    """The tiles of a raster, row by row."""
     h, w = z.shape
-    across, down, dtype = -(-w // tile), -(-h // tile), np.dtype(kind)
+    across, down = -(-w // tile), -(-h // tile)
     full = np.zeros((down * tile, across * tile), dtype=dtype)
     full[:h, :w] = z
     tiles = []
@@ -211,25 +211,41 @@ def write(z: np.ndarray, tile: int = 16, kind: str = "<f4", predictor: int = 1,
                 planes = part.astype(dtype.newbyteorder(">")).view(np.uint8).reshape(tile, tile, dtype.itemsize).transpose(0, 2, 1).reshape(tile, -1)
                 part = np.diff(planes, axis=1, prepend=np.uint8(0))
             tiles.append(np.ascontiguousarray(part).tobytes())
-    text = b"" if no_data is None else f"{no_data:g}".encode() + b"\0"
+    return tiles
+
+
+def write(
+    z: np.ndarray, tile: int = 16, kind: str = "<f4", predictor: int = 1, no_data: float | None = None, scale: tuple = (), tiepoint: tuple = (), geo_keys: dict[int, int] | None = None, overviews: list[np.ndarray] | None = None
+) -> bytes:
+    """A small uncompressed tiled file, for fixtures and derived data; overviews are further directories without a place of their own."""
+    dtype = np.dtype(kind)
     form = {"u": 1, "i": 2, "f": 3}[dtype.kind]
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [dtype.itemsize * 8]), (259, 3, [1]), (277, 3, [1]), (317, 3, [predictor]), (322, 4, [tile]), (323, 4, [tile]), (324, 4, None), (325, 4, [len(t) for t in tiles]), (339, 3, [form])]
-    tags += [(42113, 2, text)] if text else []
-    head, extra = 8 + 2 + 12 * len(tags) + 4, b""
-    bodies = []
-    for tag, kind_, values in tags:
-        n = len(tiles) if values is None else len(values)
-        bodies.append((tag, kind_, n, values))
-    room = sum(n * (1 if k == 2 else 2 if k == 3 else 4) for _, k, n, _ in bodies if n * (1 if k == 2 else 2 if k == 3 else 4) > 4)
-    first = head + room
-    starts = np.cumsum([first] + [len(t) for t in tiles[:-1]]).tolist()
-    out = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(tags))
-    for tag, kind_, n, values in bodies:
-        values = starts if values is None else values
-        body = values if kind_ == 2 else struct.pack(f"<{n}{'H' if kind_ == 3 else 'I'}", *values)
-        if len(body) > 4:
-            out += struct.pack("<HHII", tag, kind_, n, head + len(extra))
-            extra += body
-        else:
-            out += struct.pack("<HHI", tag, kind_, n) + body.ljust(4, b"\0")
-    return out + struct.pack("<I", 0) + extra + b"".join(tiles)
+    text = b"" if no_data is None else f"{no_data:g}".encode() + b"\0"
+    levels = [(x, encoded(x, tile, dtype, predictor)) for x in (z, *(overviews or []))]
+    plans = []
+    for k, (x, tiles) in enumerate(levels):
+        tags = {256: (4, [x.shape[1]]), 257: (4, [x.shape[0]]), 258: (3, [dtype.itemsize * 8]), 259: (3, [1]), 277: (3, [1]), 317: (3, [predictor]), 322: (4, [tile]), 323: (4, [tile]), 324: (4, [0] * len(tiles)), 325: (4, [len(t) for t in tiles]), 339: (3, [form])}
+        tags |= {254: (4, [1])} if k else {}
+        tags |= {33550: (12, list(scale))} if scale and not k else {}
+        tags |= {33922: (12, list(tiepoint))} if tiepoint and not k else {}
+        tags |= {34735: (3, [1, 1, 0, len(geo_keys), *(v for key, value in sorted(geo_keys.items()) for v in (key, 0, 1, value))])} if geo_keys and not k else {}
+        tags |= {42113: (2, text)} if text else {}
+        plans.append((dict(sorted(tags.items())), tiles))
+    body = lambda kind, values: values if kind == 2 else struct.pack(f"<{len(values)}{KINDS[kind]}", *values)
+    longer = lambda tags: sum(len(body(*v)) for v in tags.values() if len(body(*v)) > 4)
+    at = 8
+    for tags, _ in plans:
+        at += 2 + 12 * len(tags) + 4 + longer(tags)
+    for tags, tiles in plans:
+        tags[324] = (4, [int(v) for v in np.cumsum([at] + [len(t) for t in tiles[:-1]])])
+        at += sum(map(len, tiles))
+    out = b"II" + struct.pack("<HI", 42, 8)
+    for k, (tags, _) in enumerate(plans):
+        rest, extra = len(out) + 2 + 12 * len(tags) + 4, b""
+        out += struct.pack("<H", len(tags))
+        for tag, (kind_, values) in tags.items():
+            data = body(kind_, values)
+            out += struct.pack("<HHI", tag, kind_, len(values)) + (struct.pack("<I", rest + len(extra)) if len(data) > 4 else data.ljust(4, b"\0"))
+            extra += data if len(data) > 4 else b""
+        out += struct.pack("<I", rest + len(extra) if k + 1 < len(plans) else 0) + extra
+    return out + b"".join(t for _, tiles in plans for t in tiles)
