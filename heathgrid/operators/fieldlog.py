@@ -46,6 +46,47 @@ def latest(rows: DataFrame, time: str = "observed_at", key: str = "id", n: int =
     return rows.orderBy(F.col(time).desc(), F.col(key)).limit(n)
 
 
+def after(rows: DataFrame, cursor: tuple | None, keys: list[tuple[str, bool]]) -> DataFrame:
+    """Rows that come after a cursor (a value for each key) in the order of keys (column, whether it falls); all for no cursor.
+
+    The first key's bound stands alone too, so that it reaches the scan and prunes files by their statistics.
+    """
+    if cursor is None:
+        return rows
+    past = lambda c, v, falls: F.col(c) < F.lit(v) if falls else F.col(c) > F.lit(v)
+    beyond, equal = F.lit(False), F.lit(True)
+    for (c, falls), v in zip(keys, cursor, strict=True):
+        beyond, equal = beyond | (equal & past(c, v, falls)), equal & (F.col(c) == F.lit(v))
+    c, falls = keys[0]
+    return rows.where((F.col(c) <= F.lit(cursor[0])) if falls else (F.col(c) >= F.lit(cursor[0]))).where(beyond)
+
+
+def page(rows: DataFrame, keys: list[tuple[str, bool]], size: int, cursor: tuple | None = None) -> DataFrame:
+    """The next `size` rows after the cursor, with place (from 1) and has_more; keys must tell rows apart.
+
+    One row more than a page is looked at, for has_more. The next cursor is the keys' values in the last row.
+    """
+    order = [F.col(c).desc() if falls else F.col(c).asc() for c, falls in keys]
+    ahead = after(rows, cursor, keys).orderBy(*order).limit(size + 1)
+    whole = Window.partitionBy(F.lit(1))  # a page and a row
+    numbered = ahead.withColumn("place", F.row_number().over(whole.orderBy(*order))).withColumn("has_more", F.count("*").over(whole) > size)
+    return numbered.where(F.col("place") <= size)
+
+
+def listed(rows: DataFrame, order: list[Column], ordinals: dict[str, list[str]] | None = None, **where) -> DataFrame:
+    """Rows in a listing's order, that of an enumeration being its declaration's; where holds equalities, None for no condition."""
+    for k, v in where.items():
+        rows = rows if v is None else rows.where(F.col(k).eqNullSafe(F.lit(v)))
+    ranks = [F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)), F.lit(len(names) + 1)) for c, names in (ordinals or {}).items()]
+    return rows.orderBy(*ranks, *order)
+
+
+def share_copied(rows: DataFrame, key: Column, owner: Column, new_key: Column, valid: Column) -> DataFrame:
+    """The publicly shared row of that key as a private one of another owner; none if it isn't shared or its predicate isn't valid any more."""
+    own = rows.where((F.col("id") == key) & F.col("shared_publicly") & valid)
+    return own.withColumns({"id": new_key, "owner_id": owner, "shared_publicly": F.lit(False), "is_preset": F.lit(False), "version": F.lit(1)})
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "client_id", order: str = "seq") -> DataFrame:
     """Incoming rows to insert: the first of each key that isn't there yet; rows without a key always."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(order))

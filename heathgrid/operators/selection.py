@@ -49,6 +49,33 @@ def shares(cells: DataFrame, index: Column, bins: list[tuple[str, float, float]]
     return joined.select("bin", "label", "cells", F.when(total > 0, F.col("cells") / total).otherwise(0.0).alias("share"))
 
 
+def profile(cells: DataFrame, by: list[str], inside: Column, landforms: int = 11) -> DataFrame:
+    """Availability of each area's terrain in one pass over its cells (slope, aspect, weiss, bench, z and `by`).
+
+    slope_shares, aspect_shares (flat ground counts nowhere) and landform_shares are arrays over what was measured of
+    each; bench_share leaves out unmeasured cells; mean_slope is of the cells inside, and least and greatest height of all
+    cells given, as the envelope's. Shares and means of nothing are 0.
+    """
+    aspect = F.when(F.col("aspect") >= 0, F.col("aspect"))
+    bins = {"slope": (bin_index(F.col("slope"), SLOPE_BINS), len(SLOPE_BINS)), "aspect": (bin_index(aspect, ASPECT_BINS), len(ASPECT_BINS)), "landform": (F.col("weiss"), landforms)}
+    rows = cells.select(*by, "z", inside.alias("its_in"), "slope", "bench", *(i.alias(f"its_{k}") for k, (i, _) in bins.items()))
+    count = lambda c: F.count(F.when(F.col("its_in") & c, 1))
+    tallies = [count(F.col(f"its_{k}") == v).alias(f"its_{k}_{v}") for k, (_, n) in bins.items() for v in range(n)]
+    out = rows.groupBy(*by).agg(
+        count(F.lit(True)).alias("cells"), *tallies, count(F.col("bench") == 1).alias("its_benches"), count(F.col("bench") < 2).alias("its_measured"), F.coalesce(F.avg(F.when(F.col("its_in"), F.col("slope"))), F.lit(0.0)).alias("mean_slope"),
+        F.coalesce(F.min("z"), F.lit(0.0)).alias("min_z"), F.coalesce(F.max("z"), F.lit(0.0)).alias("max_z"),
+    )
+    part = lambda n, total: F.coalesce(F.try_divide(n.cast("double"), total.cast("double")), F.lit(0.0))
+    shares_of = {}
+    for k, (_, n) in bins.items():
+        own = [F.col(f"its_{k}_{v}") for v in range(n)]
+        total = own[0]
+        for c in own[1:]:
+            total = total + c
+        shares_of[f"{k}_shares"] = F.array(*(part(c, total) for c in own))
+    return out.select(*by, "cells", *(v.alias(k) for k, v in shares_of.items()), part(F.col("its_benches"), F.col("its_measured")).alias("bench_share"), "mean_slope", "min_z", "max_z")
+
+
 def critical_95(df: Column) -> Column:
     """The table up to 30 degrees of freedom, the cube-root approximation beyond."""
     k = F.lit(2.0) / (df * 9.0)

@@ -254,7 +254,7 @@ VERSIONS = "(event_id * 31) % 200 as entity_id, event_id as seq, (event_id * 17)
 @query(f"with recursive q as (select {VERSIONS} from events), o as (select *, row_number() over (partition by entity_id order by seq) as n from q), w(entity_id, n, seq, base_version, v, hit) as (select entity_id, n, seq, base_version, case when base_version = 1 then 2 else 1 end, base_version = 1 from o where n = 1 union all select o.entity_id, o.n, o.seq, o.base_version, case when o.base_version = w.v then w.v + 1 else w.v end, o.base_version = w.v from w join o on o.entity_id = w.entity_id and o.n = w.n + 1) select entity_id, seq, base_version, case when hit then 'applied' else 'conflict' end as status, v::bigint as version from w")
 def optimistic_conflict(spark, sf_dir):
     q = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*VERSIONS.split(", "))
-    entities = spark.range(200).select("id", F.lit(1).cast("bigint").alias("version"))
+    entities = q.select(F.col("entity_id").alias("id"), F.lit(1).cast("bigint").alias("version")).distinct()
     return fieldlog.replayed(q, entities)
 
 
@@ -304,10 +304,11 @@ def edge_step_cost(spark, sf_dir):
     return cost.step_costs(cost_cells(spark, sf_dir), r.CELL).select("x", "y", "to_x", "to_y", F.round("cost", 7).alias("cost"))
 
 
-@query("with g as (select a::int as x, b::int as y from range(0, 41) t(a), range(0, 41) u(b)) select x, y, round((greatest(abs(x - 20), abs(y - 20)) + (sqrt(2) - 1) * least(abs(x - 20), abs(y - 20))) * 0.01 / (6 * exp(-3.5 * 0.05)), 7) + 0.0 as hours from g")
+@query(f"with {r.CELLS} select x, y, round((greatest(abs(x - 20), abs(y - 5)) + (sqrt(2) - 1) * least(abs(x - 20), abs(y - 5))) * 0.01 / (6 * exp(-3.5 * 0.05)), 7) + 0.0 as hours from e")
 def flat_cost_distance(spark, sf_dir):
-    flat = spark.range(41 * 41).selectExpr("'f' as grid_id", "int(id % 41) as x", "int(id div 41) as y", "1.0d as base", "0.0d as dzdx", "0.0d as dzdy")
-    return cost.over_grids(flat, [(20, 20)], [(40, 40)], 10.0).select("x", "y", shown(F.col("cost_a"), 7).alias("hours"))
+    """The raster's cells as flat ground, where the distance is known in closed form."""
+    flat = r.raster(spark, sf_dir).select("grid_id", "x", "y", F.lit(1.0).alias("base"), F.lit(0.0).alias("dzdx"), F.lit(0.0).alias("dzdy"))
+    return cost.over_grids(flat, [(20, 5)], [(40, 5)], 10.0).select("x", "y", shown(F.col("cost_a"), 7).alias("hours"))
 
 
 @query()
@@ -346,3 +347,46 @@ def area_share(spark, sf_dir):
     from heathgrid.plans import analyze, predicate
 
     return analyze.area_share(r.raster(spark, sf_dir), predicate.PRESETS["Sidehill walkable grade"], r.CELL, 9).withColumn("share", F.round("share", 6))
+
+
+def _bins_sql(column: str, values) -> str:
+    return ", ".join(f"count(*) filter (i and {column} = {v})" for v in values)
+
+
+@query(
+    f"with {r.WEISS}, {r.RING_SQL}, bb as (select w.x, w.y, w.z, w.slope, w.aspect, w.weiss, case when g.slope is null then 2 when g.slope <= 8 and ring_samples >= 8 and 2 * ring_steep >= ring_samples then 1 else 0 end as bench, w.x // 50 as area, pow(w.x - 50, 2) + pow(w.y - 50, 2) <= 1600 as i from weiss w join ring g using (x, y)), "
+    f"kk as (select *, {_bin_sql('slope')} as sb, {_bin_sql('aspect').replace('{flat}', '-1')} as ab from bb), "
+    f"tt as (select area, count(*) filter (i) as cells, [{_bins_sql('sb', range(5))}] as s, [{_bins_sql('ab', range(8))}] as a, [{_bins_sql('weiss', range(11))}] as l, count(*) filter (i and bench = 1) as bn, count(*) filter (i and bench < 2) as bt, coalesce(avg(slope) filter (i), 0) as mean_slope, min(z) as min_z, max(z) as max_z from kk group by area) "
+    "select area, cells, array_to_string(list_transform(s, lambda v: printf('%.6f', coalesce(v / nullif(list_sum(s), 0), 0))), ' ') as slope_shares, array_to_string(list_transform(a, lambda v: printf('%.6f', coalesce(v / nullif(list_sum(a), 0), 0))), ' ') as aspect_shares, array_to_string(list_transform(l, lambda v: printf('%.6f', coalesce(v / nullif(list_sum(l), 0), 0))), ' ') as landform_shares, round(coalesce(bn::double / nullif(bt, 0), 0), 6) as bench_share, round(mean_slope, 6) as mean_slope, round(min_z, 6) as min_z, round(max_z, 6) as max_z from tt"
+)
+def terrain_profile(spark, sf_dir):
+    """Availability of two areas' terrain, from one pass."""
+    from heathgrid.operators import landform
+
+    rings = landform.ring_stats(r.classed(spark, sf_dir))
+    cells = rings.withColumn("bench", landform.bench_candidate(F.col("slope"), F.col("ring_samples"), F.col("ring_steep"))).withColumn("area", F.floor(F.col("x") / 50))
+    found = selection.profile(cells, ["area"], F.pow(F.col("x") - 50, F.lit(2)) + F.pow(F.col("y") - 50, F.lit(2)) <= 1600)
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.6f", v)), " ").alias(c)
+    return found.select("area", "cells", *map(text, ("slope_shares", "aspect_shares", "landform_shares")), *(F.round(c, 6).alias(c) for c in ("bench_share", "mean_slope", "min_z", "max_z")))
+
+
+PAGE = 500
+
+
+@query(f"with {OBS}, o as (select id, observed_at, row_number() over (order by observed_at desc, id) as n, count(*) over () as total from obs) select id, observed_at, (n - {PAGE})::int as place, total > {2 * PAGE} as has_more from o where n > {PAGE} and n <= {2 * PAGE}")
+def second_page(spark, sf_dir):
+    """The page that follows the first one's cursor in a listing of all observations, latest first."""
+    rows, keys = observations(spark, sf_dir).select("id", "observed_at"), [("observed_at", True), ("id", False)]
+    last = fieldlog.page(rows, keys, PAGE).where(F.col("place") == PAGE).collect()  # one row: the cursor
+    return fieldlog.page(rows, keys, PAGE, (last[0].observed_at, last[0].id)) if last else fieldlog.page(rows.where("false"), keys, PAGE)
+
+
+@query(f"with {OBS}, l as (select id, property_id, kind, sex, case kind when 'SIGHTING' then 1 when 'SIGN' then 2 when 'TRAIL_CAMERA' then 3 when 'HARVEST' then 4 else 5 end as k from obs where property_id = 3 and not is_blank_sit) select id, kind, row_number() over (order by k, sex, id)::int as place from l")
+def property_listing(spark, sf_dir):
+    """A property's rows in the order of an enumeration, then by sex and id, with their place."""
+    from pyspark.sql import Window
+
+    order = ["SIGHTING", "SIGN", "TRAIL_CAMERA", "HARVEST"]
+    rows = fieldlog.listed(observations(spark, sf_dir), [F.col("sex"), F.col("id")], {"kind": order}, property_id=3, is_blank_sit=False)
+    k = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("kind")), F.lit(0)), F.lit(5))
+    return rows.select("id", "kind", F.row_number().over(Window.partitionBy("property_id").orderBy(k, "sex", "id")).alias("place"))

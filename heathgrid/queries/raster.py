@@ -80,7 +80,7 @@ def z_sql(name: str, source: str) -> str:
 
 
 WEISS_CASE = "case when {s} is null or {l} is null or {p} is null then 0 when {s} <= -1 then case when {l} <= -1 then 1 when {l} >= 1 then 3 else 2 end when {s} >= 1 then case when {l} <= -1 then 8 when {l} >= 1 then 10 else 9 end when {l} <= -1 then 4 when {l} >= 1 then 7 when {p} <= 5 then 5 else 6 end"
-WEISS = f"{SURFACE}, {tpi_sql('a', 'e', 3)}, {z_sql('za', 'a')}, {tpi_sql('b', 'e', 9)}, {z_sql('zb', 'b')}, weiss as (select s.x, s.y, s.z, slope, aspect, ({WEISS_CASE.format(s='za.v', l='zb.v', p='slope')})::int as weiss from s join za using (x, y) join zb using (x, y))"
+WEISS = f"{SURFACE}, {tpi_sql('a', 'e', 3)}, {z_sql('za', 'a')}, {tpi_sql('b', 'e', 20)}, {z_sql('zb', 'b')}, weiss as (select s.x, s.y, s.z, slope, aspect, ({WEISS_CASE.format(s='za.v', l='zb.v', p='slope')})::int as weiss from s join za using (x, y) join zb using (x, y))"
 WOOD_CASE = "case when slope is null or cross_sectional is null or max_curvature is null then 6 when slope > 1.5 then case when cross_sectional > 0.0015 then 4 when cross_sectional < -0.0015 then 2 else 0 end when max_curvature > 0.0015 and min_curvature > 0.0015 then 5 when max_curvature < -0.0015 and min_curvature < -0.0015 then 1 when max_curvature > 0.0015 and min_curvature < -0.0015 then 3 when max_curvature > 0.0015 or min_curvature > 0.0015 then 4 when max_curvature < -0.0015 or min_curvature < -0.0015 then 2 else 0 end"
 RING = ", ".join(f"({k}, {dx}, {dy})" for k, dx, dy in landform.ring_offsets())
 RING_SQL = f"o(k, dx, dy) as (values {RING}), ring as (select s.x, s.y, s.z, s.slope, count(t.slope)::int as ring_samples, count(*) filter (t.x is not null and t.slope is null)::int as ring_missing, count(*) filter (t.slope >= 18)::int as ring_steep, avg(t.slope) as ring_mean from s cross join o left join s t on t.x = s.x + o.dx and t.y = s.y + o.dy group by all)"
@@ -133,9 +133,9 @@ def tri(spark, sf_dir):
     return out.select("x", "y", shown(F.col("ruggedness")).alias("ruggedness"))
 
 
-@query(f"with {SURFACE}, u as (select x, y, z, -dx / sqrt(dx * dx + dy * dy + 1) as nx, dy / sqrt(dx * dx + dy * dy + 1) as ny, 1 / sqrt(dx * dx + dy * dy + 1) as nz from s), {box('v', 'u', 3, {'a': 'nx', 'b': 'ny', 'c': 'nz', 'k': 'case when nx is not null then 1.0::double end'})} select x, y, round(case when k >= 49 * 0.75 then greatest(0, least(1, 1 - sqrt(a * a + b * b + c * c) / k)) end, 6) + 0.0 as vrm from v where {at(4)}")
+@query(f"with {SURFACE}, u as (select x, y, z, -dx / sqrt(dx * dx + dy * dy + 1) as nx, dy / sqrt(dx * dx + dy * dy + 1) as ny, 1 / sqrt(dx * dx + dy * dy + 1) as nz from s), {box('v', 'u', 4, {'a': 'nx', 'b': 'ny', 'c': 'nz', 'k': 'case when nx is not null then 1.0::double end'})} select x, y, round(case when k >= 81 * 0.75 then greatest(0, least(1, 1 - sqrt(a * a + b * b + c * c) / k)) end, 6) + 0.0 as vrm from v where {at(5)}")
 def vrm(spark, sf_dir):
-    out = interior(surface.vector_ruggedness(surfaced(spark, sf_dir), 3), 4, bounds(spark, sf_dir))
+    out = interior(surface.vector_ruggedness(surfaced(spark, sf_dir), 4), 5, bounds(spark, sf_dir))
     return out.select("x", "y", shown(F.col("vrm")).alias("vrm"))
 
 
@@ -153,14 +153,14 @@ def tpi_z_small(spark, sf_dir):
     return _tpi(spark, sf_dir, 3)
 
 
-@query(_z(9))
+@query(_z(20))
 def tpi_z_large(spark, sf_dir):
-    return _tpi(spark, sf_dir, 9)
+    return _tpi(spark, sf_dir, 20)
 
 
-@query(_z(9, 3))
+@query(_z(20, 3))
 def tpi_annulus(spark, sf_dir):
-    return _tpi(spark, sf_dir, 9, 3)
+    return _tpi(spark, sf_dir, 20, 3)
 
 
 @query(f"with {VOIDS}, {tpi_sql('a', 'e', 3)} select x, y, round(t, 6) + 0.0 as tpi from a")
@@ -169,7 +169,7 @@ def tpi_void_quorum(spark, sf_dir):
 
 
 def classed(spark, sf_dir):
-    cells = surface.tpi(surface.tpi(surfaced(spark, sf_dir), 3, "tpi_small"), 9, "tpi_large")
+    cells = surface.tpi(surface.tpi(surfaced(spark, sf_dir), 3, "tpi_small"), 20, "tpi_large")
     cells = surface.standardized(surface.standardized(cells, "tpi_small", "z_small"), "tpi_large", "z_large")
     return cells.withColumn("weiss", landform.weiss(F.col("z_small"), F.col("z_large"), F.col("slope")))
 
@@ -202,12 +202,12 @@ def ring_slope_stats(spark, sf_dir):
     return out.select("x", "y", "ring_samples", "ring_missing", "ring_steep", F.round("ring_mean", 6).alias("ring_mean"))
 
 
-BENCH_SQL = f"with {SURFACE}, {RING_SQL}, bench as (select x, y, case when slope is null then 2 when slope <= 14 and ring_samples >= 8 and 2 * ring_steep >= ring_samples then 1 else 0 end as bench from ring)"
+BENCH_SQL = f"with {SURFACE}, {RING_SQL}, bench as (select x, y, case when slope is null then 2 when slope <= 8 and ring_samples >= 8 and 2 * ring_steep >= ring_samples then 1 else 0 end as bench from ring)"
 
 
 def benched(spark, sf_dir):
     rings = landform.ring_stats(surfaced(spark, sf_dir))
-    return rings.withColumn("bench", landform.bench_candidate(F.col("slope"), F.col("ring_samples"), F.col("ring_steep"), pad=14.0))
+    return rings.withColumn("bench", landform.bench_candidate(F.col("slope"), F.col("ring_samples"), F.col("ring_steep")))
 
 
 @query(f"{BENCH_SQL} select x, y, bench from bench")
