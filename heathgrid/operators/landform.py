@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heathgrid.operators.stencil import offsets
+from heathgrid.shared import cut
 
 #: Class names by code.
 WEISS = ("Unknown", "Canyon", "Midslope drainage", "Upland drainage", "U-shaped valley", "Plain", "Open slope", "Upper slope", "Local ridge in valley", "Midslope ridge", "Mountain top")
@@ -17,6 +18,8 @@ WOOD = ("Planar", "Pit", "Channel", "Pass", "Ridge", "Peak", "Unknown")
 OCTANTS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 #: A bench's pad and ring slopes in degrees, ring radius and directions, least ring samples, least cells.
 PAD_SLOPE, RING_SLOPE, RING_RADIUS, DIRECTIONS, LEAST_SAMPLES, LEAST_CELLS = 8.0, 18.0, 8, 16, 8, 6
+#: Cells along a tile's side, and rows' share of a part's name.
+SIZE, WIDE = 64, 1 << 32
 
 
 def weiss(small: Column, large: Column, slope: Column, plain_slope: float = 5.0, threshold: float = 1.0) -> Column:
@@ -79,9 +82,8 @@ def bench_candidate(slope: Column, samples: Column, steep: Column, pad: float =
     return F.when(slope.isNull(), 2).when(found, 1).otherwise(0).cast("int")
 
 
-def blobs(mask: np.ndarray) -> np.ndarray:
-    """Sizes, at each true cell, of its 4-connected component: smallest labels spread along runs until they settle."""
-    height, width = mask.shape
+def labels(mask: np.ndarray) -> np.ndarray:
+    """The least index of each set cell's 4-connected group; mask.size where not set. Minima sweep along rows and columns, both ways."""
     label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
     while True:
         before = label.copy()
@@ -94,22 +96,71 @@ def blobs(mask: np.ndarray) -> np.ndarray:
                     ok = (m[k - 1] & m[k]) if axis == 0 else (m[:, k - 1] & m[:, k])
                     np.minimum(b, a, out=b, where=ok)
         if (label == before).all():
-            break
-    sizes = np.bincount(label[mask], minlength=mask.size + 1) if mask.any() else np.zeros(mask.size + 1, dtype=int)
-    return np.where(mask, sizes[np.minimum(label, mask.size)], 0)
+            return label
 
 
-def remove_small(cells: DataFrame, flag: str = "bench", least: int = LEAST_CELLS) -> DataFrame:
-    """cells with flag 1 turned to 0 in 4-connected groups of fewer than `least` cells: one task a grid, which is one tile or mosaic."""
+def labelled(cells: DataFrame, size: int = SIZE) -> DataFrame:
+    """grid_id, x, y, part: cells (grid_id, x, y) in 4-connected parts within tiles; a part is named by its first cell. A task's group is one tile."""
 
-    def run(grid: pd.DataFrame) -> pd.DataFrame:
-        x, y = grid["x"] - grid["x"].min(), grid["y"] - grid["y"].min()
-        mask = np.zeros((int(y.max()) + 1, int(x.max()) + 1), dtype=bool)
-        mask[y, x] = grid[flag] == 1
-        size = blobs(mask)[y, x]
-        return grid.assign(**{flag: np.where((grid[flag] == 1) & (size < least), 0, grid[flag])})
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(tile["x"].iloc[0]) // size * size, int(tile["y"].iloc[0]) // size * size
+        x, y = tile["x"].to_numpy() - x0, tile["y"].to_numpy() - y0
+        mask = np.zeros((size, size), dtype=bool)
+        mask[y, x] = True
+        first = labels(mask)[y, x]
+        return tile[["grid_id", "x", "y"]].assign(part=(first // size + y0).astype("int64") * WIDE + first % size + x0)
 
-    return cells.groupBy("grid_id").applyInPandas(run, cells.schema)
+    keys = ["grid_id", F.floor(F.col("x") / size), F.floor(F.col("y") / size)]
+    return cells.select("grid_id", "x", "y").groupBy(*keys).applyInPandas(run, f"grid_id {dict(cells.dtypes)['grid_id']}, x int, y int, part long")
+
+
+def met(parts: DataFrame, size: int = SIZE) -> DataFrame:
+    """grid_id, a, b: parts that touch across a border of tiles, by an equi-join of the cells along borders."""
+    found = None
+    for c, o in (("x", "y"), ("y", "x")):
+        left = parts.where(F.pmod(F.col(c), F.lit(size)) == size - 1).select("grid_id", (F.col(c) + 1).alias(c), o, F.col("part").alias("a"))
+        right = parts.where(F.pmod(F.col(c), F.lit(size)) == 0).select("grid_id", c, o, F.col("part").alias("b"))
+        pairs = left.join(right, ["grid_id", c, o]).select("grid_id", "a", "b")
+        found = pairs if found is None else found.union(pairs)
+    return found.distinct()
+
+
+def wholes(touching: DataFrame) -> DataFrame:
+    """grid_id, part, whole: the least part that each part of touching pairs leads to.
+
+    Each round takes the least name among a part and its neighbours, and then that name's own; names only
+    fall, and a chain's length halves, until nothing changes. Rounds are checkpointed.
+    """
+    both = cut(touching.union(touching.select("grid_id", "b", "a")).toDF("grid_id", "part", "beside"))
+    at = cut(both.select("grid_id", "part", F.col("part").alias("whole")).distinct())
+    while True:
+        beside = both.join(at.select("grid_id", F.col("part").alias("beside"), F.col("whole").alias("its")), ["grid_id", "beside"]).groupBy("grid_id", "part").agg(F.min("its").alias("its"))
+        lower = at.join(beside, ["grid_id", "part"]).select("grid_id", "part", F.col("whole").alias("old"), F.least("whole", "its").alias("whole"))
+        jump = at.select("grid_id", F.col("part").alias("whole"), F.col("whole").alias("further"))
+        step = cut(lower.join(jump, ["grid_id", "whole"], "left").select("grid_id", "part", "old", F.least("whole", F.coalesce("further", "whole")).alias("whole")))
+        at = step.select("grid_id", "part", "whole")
+        if not step.where("old != whole").limit(1).count():
+            return at
+
+
+def groups(cells: DataFrame, size: int = SIZE) -> DataFrame:
+    """grid_id, x, y, whole, cells_in: the 4-connected group of each cell (grid_id, x, y) over a raster of any extent, and its size.
+
+    Tiles label their own parts, borders tell which parts are one, and sizes add up by part before they meet.
+    """
+    parts = cut(labelled(cells, size))
+    joined = wholes(met(parts, size))
+    sizes = parts.groupBy("grid_id", "part").agg(F.count("*").alias("n")).join(joined, ["grid_id", "part"], "left").withColumn("whole", F.coalesce("whole", "part"))
+    totals = sizes.groupBy("grid_id", "whole").agg(F.sum("n").alias("cells_in"))
+    named = sizes.select("grid_id", "part", "whole").join(totals, ["grid_id", "whole"])
+    return parts.join(named, ["grid_id", "part"]).select("grid_id", "x", "y", "whole", "cells_in")
+
+
+def remove_small(cells: DataFrame, flag: str = "bench", least: int = LEAST_CELLS, size: int = SIZE) -> DataFrame:
+    """cells with flag 1 turned to 0 in 4-connected groups of fewer than `least` cells; a task holds one tile."""
+    small = groups(cells.where(F.col(flag) == 1), size).where(F.col("cells_in") < least).select("grid_id", "x", "y", F.lit(True).alias("its_small"))
+    kind = dict(cells.dtypes)[flag]
+    return cells.join(small, ["grid_id", "x", "y"], "left").withColumn(flag, F.when(F.col("its_small"), F.lit(0).cast(kind)).otherwise(F.col(flag))).select(*cells.columns)
 
 
 def bench_counts(cells: DataFrame, flag: str = "bench") -> DataFrame:
