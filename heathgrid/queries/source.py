@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from heathgrid.functions.num import shown
 from heathgrid.operators import mosaic, sampling, spatial, surface
 from heathgrid.queries import geo
 from heathgrid.queries import raster as r
-from heathgrid.shared import cut, shared_folder
+from heathgrid.shared import cut, remove_folder, shared_folder
 from heathgrid.sources import geotiff
 
 QUERIES, ORACLE = {}, {}
@@ -71,12 +70,6 @@ def as_files(spark: SparkSession, sf_dir: str, levels: int = 1) -> str:
     return folder
 
 
-def removed(folder: str) -> None:
-    fs, at = geotiff.place(folder)
-    if fs.get_file_info(at).type == pafs.FileType.Directory:
-        fs.delete_dir(at)
-
-
 BOX = (-83.971, 39.962, -83.934, 39.981)
 LNG, LAT = f"({WEST}::double + (x + 0.5::double) * {DEGREES}::double)", f"({NORTH}::double - (y + 0.5::double) * {DEGREES}::double)"
 
@@ -91,7 +84,7 @@ def geotiff_box(spark: SparkSession, sf_dir: str) -> DataFrame:
         x, y = (F.floor((F.col("lng") - WEST) / DEGREES).cast("int"), F.floor((NORTH - F.col("lat")) / DEGREES).cast("int"))
         return cut(cells.select(x.alias("x"), y.alias("y"), shown(F.col("lng"), 7).alias("lng"), shown(F.col("lat"), 7).alias("lat"), shown(F.col("z")).alias("z")))
     finally:
-        removed(folder)
+        remove_folder(folder)
 
 
 WIDE = 80

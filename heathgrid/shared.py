@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Frees the shuffle files of a query when it ends; without it they stay until the driver's memory is cleaned.
@@ -23,6 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The filesystem of a local path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def remove_folder(path: str) -> None:
+    """A folder of the shared one, with all that is in it; nothing if it isn't there."""
+    fs, at = filesystem(path)
+    if fs.get_file_info(at).type == pafs.FileType.Directory:
+        fs.delete_dir(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it from there from now on."""
     shared_folder(df.sparkSession)

@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heathgrid.functions import georef
 from heathgrid.functions.num import let, worked_out
 from heathgrid.operators.mosaic import arrays
+from heathgrid.shared import filesystem
 from heathgrid.sources import tiff
 
 PROBE = 32 << 10
@@ -34,17 +34,11 @@ INDEX = (
 )
 
 
-def place(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 class Ranges:
     """Reads of a file's byte ranges; counts what it asked for."""
 
     def __init__(self, path: str):
-        fs, at = place(path)
+        fs, at = filesystem(path)
         self.file, self.asked = fs.open_input_file(at), []
 
     def read(self, start: int, length: int) -> bytes:
@@ -172,7 +166,7 @@ def write_tiles(dealt: DataFrame, folder: str, size: int, degrees: float, west:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = place(folder)
+        fs, at = filesystem(folder)
         fs.create_dir(at, recursive=True)
         for batch in batches:
             written = []
