@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heathgrid.functions import geometry, pixels, tiles
 from heathgrid.functions.num import shown
 from heathgrid.operators import cost, fieldlog, mosaic, rays, surface
+from heathgrid.plans import region
 from heathgrid.queries import raster as r
 
 QUERIES, ORACLE = {}, {}
@@ -89,6 +90,38 @@ def offline_estimate(spark, sf_dir):
     return counts.select("id", "n_tiles", (F.col("n_tiles") * sum(BYTES.values())).alias("bytes"), (F.col("n_tiles") > 100).alias("over_limit"))
 
 
+_LAYERS = ("satellite", "bedding", "slope")
+
+
+def _range_sql(zooms: str) -> str:
+    return _RANGE.replace("(values (5), (7)) v(z)", f"(values {zooms}) v(z)")
+
+
+@query(
+    f"with {PLACES}, {_SPANS}, {_range_sql('(6), (7), (8), (9), (10), (11)')}, c as (select id, z, sum((x1 - x0 + 1) * (y1 - y0 + 1))::bigint as n from rg group by id, z), t as (select id, sum(n)::bigint as n_tiles, string_agg(z::int || ':' || n, ' ' order by z) as by_zoom from c where z <= case when id % 2 = 0 then 11 else 9 end group by id), "
+    f"w as (select *, n_tiles * 62000 as total, n_tiles * 42000 as top from t) select id, by_zoom, n_tiles, n_tiles * 100000 as bytes, "
+    "array_to_string(list_filter([case when n_tiles > 120000 then 'over_limit:' || n_tiles end, case when n_tiles * 100000 > 500000000 then 'large:' || n_tiles * 100000 end, case when n_tiles * 100000 > 900000000 then 'no_room:' || (n_tiles * 100000 - 1000000000) end], lambda v: v is not null), ' ') as device, "
+    "'satellite' as heaviest, (n_tiles * 66000)::bigint as total_bytes, array_to_string(list_filter([case when n_tiles * 3 > 120000 then 'over_limit:' || n_tiles * 3 end, case when n_tiles * 66000 > 500000000 then 'large:' || n_tiles * 66000 end, 'heaviest:' || top], lambda v: v is not null), ' ') as served from w"
+)
+def region_plan(spark, sf_dir):
+    """Plans of areas at two details with their warnings, by arithmetic alone."""
+    rows = boxes(spark, sf_dir).withColumn("its_z", region.zoom_range(F.lit(8), F.when(F.col("id") % 2 == 0, 11).otherwise(9))).select("id", "west", "south", "east", "north", "its_z.*")
+    plans = region.by_layer(region.planned(rows).withColumn("layers", F.array(*map(F.lit, _LAYERS))))
+    text = lambda c: F.array_join(F.transform(c, lambda w: F.concat(w["code"], F.lit(":"), w["amount"].cast("string"))), " ")
+    by_zoom = F.array_join(F.transform("by_zoom", lambda v: F.concat(v["zoom"].cast("string"), F.lit(":"), v["n"].cast("string"))), " ")
+    return plans.select("id", by_zoom.alias("by_zoom"), "n_tiles", "bytes", text(region.device_warnings(F.col("n_tiles"), F.col("bytes"), F.lit(1_000_000_000))).alias("device"), F.col("heaviest.layer").alias("heaviest"), "total_bytes", text(F.col("warnings")).alias("served"))
+
+
+@query(
+    f"with {PLACES}, {_SPANS}, {_range_sql('(22)')}, a as (select *, x1 - x0 + 1 as w, y1 - y0 + 1 as h from rg), b as (select *, greatest(1, floor(48.0::double * w * h / sum(w * h) over (partition by id) + 0.5))::bigint as budget from a), "
+    "n as (select *, greatest(1, least(floor(sqrt(budget * w / h::double) + 0.5)::bigint, least(w, budget))) as nx from b), m as (select *, greatest(1, least((budget // nx)::bigint, h)) as ny from n), "
+    "i as (select *, unnest(range(nx::bigint)) as i from m), j as (select *, unnest(range(ny::bigint)) as j from i) select distinct id, x0 + floor((i + 0.5::double) * w / nx)::bigint as x, y0 + floor((j + 0.5::double) * h / ny)::bigint as y from j"
+)
+def tile_sample(spark, sf_dir):
+    """Some 48 tiles of each area at a zoom where it has tens of billions."""
+    return region.sampled(boxes(spark, sf_dir), 22, 48).select("id", "x", "y")
+
+
 def planned(spark, sf_dir):
     return tiles.tiles_over(boxes(spark, sf_dir), [5, 7]).select("id", "zoom", "x", "y")
 
