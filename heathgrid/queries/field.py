@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heathgrid.functions import season, solar
 from heathgrid.functions.num import shown
-from heathgrid.operators import cost, fieldlog, landform, selection
+from heathgrid.operators import cascade, cost, fieldlog, landform, selection
 from heathgrid.queries import raster as r
 
 QUERIES, ORACLE = {}, {}
@@ -390,3 +390,50 @@ def property_listing(spark, sf_dir):
     rows = fieldlog.listed(observations(spark, sf_dir), [F.col("sex"), F.col("id")], {"kind": order}, property_id=3, is_blank_sit=False)
     k = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("kind")), F.lit(0)), F.lit(5))
     return rows.select("id", "kind", F.row_number().over(Window.partitionBy("property_id").orderBy(k, "sex", "id")).alias("place"))
+
+
+def _wanted(spark, sf_dir):
+    """Memberships that are asked for: one of each order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    role = F.element_at(F.array(*map(F.lit, (*fieldlog.ROLES[:3], "GUEST"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select((F.col("o_custkey") % 150 + 1).alias("property_id"), (F.col("o_orderkey") % 23).alias("user_id"), role.alias("role"), F.col("o_orderkey").alias("seq"))
+
+
+_SET = (
+    "own as (select distinct s_suppkey * 7 % 150 + 1 as property_id, s_nationkey as user_id, 'OBSERVER' as role from supplier), "
+    "want as (select o_custkey % 150 + 1 as property_id, o_orderkey % 23 as user_id, (['OBSERVER', 'HUNTER', 'MANAGER', 'GUEST'])[(o_orderkey % 4 + 1)::int] as role, o_orderkey as seq from orders), "
+    "new as (select property_id, user_id, arg_max(role, seq) as role from want where role <> 'GUEST' group by 1, 2)"
+)
+
+
+@query(f"with {_SET} select property_id, user_id, coalesce(new.role, own.role) as role from own full join new using (property_id, user_id)")
+def members_set(spark, sf_dir):
+    """Memberships after a batch that adds some and changes others."""
+    own = memberships(spark, sf_dir).select("property_id", "user_id", F.lit("OBSERVER").alias("role")).distinct()
+    return cascade.members_set(own, _wanted(spark, sf_dir)).select("property_id", "user_id", "role")
+
+
+@query(f"with {_SET}, gone as (select distinct o_custkey % 150 + 1 as property_id, o_orderkey % 29 as user_id from orders) select property_id, user_id from own where not exists (select 1 from gone where gone.property_id = own.property_id and gone.user_id = own.user_id and not exists (select 1 from customer where c_custkey = gone.property_id and c_nationkey = gone.user_id))")
+def members_removed(spark, sf_dir):
+    """Memberships after a batch of removals; owners stay."""
+    own = memberships(spark, sf_dir).select("property_id", "user_id").distinct()
+    gone = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 150 + 1).alias("property_id"), (F.col("o_orderkey") % 29).alias("user_id"))
+    return cascade.members_removed(own, properties(spark, sf_dir), gone).select("property_id", "user_id")
+
+
+@query(
+    "with f as (select c_custkey as id, c_nationkey as owner_id, c_name as name, 'p0' as predicate, '#000000' as color from customer), "
+    "ch as (select o_custkey as id, o_orderkey % 25 as user_id, o_orderkey as seq, case when o_orderkey % 3 = 0 then o_orderstatus end as name, case when o_orderkey % 5 = 0 then 'p' || o_orderkey % 7 end as predicate, case when o_orderkey % 2 = 0 then (['#00ff00', 'green'])[(o_orderkey // 2 % 2 + 1)::int] end as color from orders), "
+    "ok as (select ch.* from ch join f on f.id = ch.id and f.owner_id = ch.user_id where (ch.color is null or ch.color = '#00ff00') and (ch.predicate is null or ch.predicate <> 'p3')), "
+    "g as (select id, arg_max(name, seq) filter (name is not null) as name, arg_max(predicate, seq) filter (predicate is not null) as predicate, arg_max(color, seq) filter (color is not null) as color, count(*) as n from ok group by id) "
+    "select f.id, coalesce(g.name, f.name) as name, coalesce(g.predicate, f.predicate) as predicate, coalesce(g.color, f.color) as color, 1 + coalesce(n, 0) as version, case when g.predicate is null then 0.5::double end as share from f left join g using (id)"
+)
+def filters_changed(spark, sf_dir):
+    """Saved filters after their owners' changes: versions rise, and shares of changed predicates go."""
+    filters = properties(spark, sf_dir).select("id", "owner_id", "name", F.lit("p0").alias("predicate"), F.lit("#000000").alias("color"), F.lit(1).cast("long").alias("version"), F.lit(0.5).alias("matched_area_share"))
+    k = F.col("o_orderkey")
+    changes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").alias("id"), (k % 25).alias("user_id"), k.alias("seq"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("name"), F.when(k % 5 == 0, F.concat(F.lit("p"), (k % 7).cast("string"))).alias("predicate"),
+        F.when(k % 2 == 0, F.element_at(F.array(F.lit("#00ff00"), F.lit("green")), (F.floor(k / 2) % 2 + 1).cast("int"))).alias("color"),
+    )
+    return cascade.filters_changed(filters, changes, F.col("predicate") != "p3").select("id", "name", "predicate", "color", "version", F.col("matched_area_share").alias("share"))

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.functions import geometry
-from heathgrid.functions.num import shown
-from heathgrid.operators import mosaic, sampling, spatial, surface
+from heathgrid.functions import geometry, georef, readout
+from heathgrid.functions.num import shown, worked_out
+from heathgrid.operators import landform, mosaic, sampling, spatial, surface
 from heathgrid.queries import geo
 from heathgrid.queries import raster as r
 from heathgrid.shared import cut, remove_folder, shared_folder
@@ -139,3 +139,30 @@ def scanline_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = spark.range(1).select("id", geo.polygon().alias("polygon"))
     mask = spatial.masked(r.raster(spark, sf_dir).select("x", "y"), shape)
     return spatial.outline(mask).select("x", "y", "edge")
+
+
+SPOTS = f"spot as (select event_id as id, {WEST}::double + ((event_id * 7919 % 10500) / 100.0::double + 0.005::double) * {DEGREES}::double as lng, {NORTH}::double - ((event_id * 104729 % 10500) / 100.0::double + 0.005::double) * {DEGREES}::double as lat from events)"
+
+
+@query(
+    f"with {r.WEISS}, {r.CURVED}, {SPOTS}, d as (select w.x, w.y, w.z, w.slope, w.aspect, weiss, ({r.WOOD_CASE})::int as wood from weiss w join c using (x, y)), "
+    f"t as (select id, floor((lng - {WEST}::double) / {DEGREES}::double)::int as x, floor(({NORTH}::double - lat) / {DEGREES}::double)::int as y from spot) "
+    "select id, case when d.x is null then 'no_data' else 'ok' end as outcome, floor(z * 3.28084::double + 0.5)::bigint as elevation_ft, floor(slope + 0.5)::bigint as slope_deg, case when d.x is not null then case when slope is null then 'unmeasured' when aspect < 0 then 'flat' else 'value' end end as aspect_kind, "
+    "case when slope is not null and aspect >= 0 then floor(aspect + 0.5)::bigint end as aspect_deg, case when weiss > 0 then weiss_names.label end as landform, case when wood < 6 then wood_names.label end as morphometry from t left join d using (x, y) "
+    f"left join (values {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(landform.WEISS))}) weiss_names(k, label) on weiss_names.k = weiss left join (values {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(landform.WOOD))}) wood_names(k, label) on wood_names.k = wood"
+)
+def point_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on and off the raster with what their cells say."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = lambda k: (F.col("event_id") * k % 10500) / 100.0 + 0.005
+    g = F.struct(*(F.lit(float(v)).alias(k) for k, v in (("sx", DEGREES), ("sy", DEGREES), ("i", 0), ("j", 0), ("x", WEST), ("y", NORTH))), F.lit(None).cast("int").alias("zone"))
+    spots = e.select(F.col("event_id").alias("id"), (at(7919) * DEGREES + WEST).alias("lng"), (F.lit(NORTH) - at(104729) * DEGREES).alias("lat"))
+    p = worked_out(spots, "p", georef.pixel_of(F.col("lng"), F.col("lat"), g)).select("id", F.floor("p.px").cast("int").alias("x"), F.floor("p.py").cast("int").alias("y"))
+    cells = surface.curvature(r.classed(spark, sf_dir), r.CELL)
+    cells = cells.withColumn("wood", landform.wood(F.col("slope"), F.col("cross_sectional"), F.col("max_curvature"), F.col("min_curvature"), landform.curvature_tolerance(r.CELL)))
+    told = readout.facts(F.col("z"), F.col("slope"), F.col("aspect"), F.col("weiss"), F.col("wood"), F.lit(0))
+    f = readout.read_points(p, cells, told)
+    return f.select(
+        "id", "outcome", F.col("readout.elevation_ft.value").alias("elevation_ft"), F.col("readout.slope_deg.value").alias("slope_deg"), F.col("readout.aspect.kind").alias("aspect_kind"), F.col("readout.aspect.value.deg").alias("aspect_deg"),
+        F.col("readout.landform.value").alias("landform"), F.col("readout.morphometry.value").alias("morphometry"),
+    )
