@@ -95,3 +95,25 @@ def hex_color(text: Column) -> Column:
 
 def unit(value: Column, most: float) -> Column:
     return clamp(value / most, 0, 1)
+
+
+#: Stops of the slope ramp; how much lighter a mask's edge is.
+SLOPE = [(0.0, (58, 84, 110, 0)), (8.0, (72, 140, 176, 140)), (20.0, (96, 186, 154, 170)), (30.0, (226, 190, 90, 190)), (45.0, (216, 118, 66, 210)), (70.0, (156, 48, 62, 235))]
+LIGHTER = 70
+
+
+def shade(value: Column, opacity: float = 1.0) -> Column:
+    """Grey of a light from 0 to 1; transparent where unknown."""
+    v, alpha = half_up(value * 255.0).cast("int"), int(255 * opacity + 0.5)
+    return F.when(value.isNull(), rgba(0, 0, 0, 0)).otherwise(F.struct(v.alias("r"), v.alias("g"), v.alias("b"), F.lit(alpha).alias("a")))
+
+
+def mask(set_: Column, color: Column, opacity: Column, edge: Column | None = None) -> Column:
+    """Colour (#rrggbb) of set cells; those of the edge, if given, lighter and opaque; the rest transparent."""
+    c = hex_color(color)
+    alpha = half_up(clamp(opacity, 0, 1) * 255.0).cast("int")
+    own = F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), alpha.alias("a"))
+    if edge is not None:
+        bright = F.struct(*(F.least(F.lit(255), c[k] + LIGHTER).alias(k) for k in "rgb"), F.lit(255).alias("a"))
+        own = F.when(edge, bright).otherwise(own)
+    return F.when(F.coalesce(set_, F.lit(False)), own).otherwise(rgba(0, 0, 0, 0))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heathgrid.functions import geometry, georef, readout
+from heathgrid.functions import geometry, georef, pixels, readout, solar
 from heathgrid.functions.num import shown, worked_out
 from heathgrid.operators import landform, mosaic, sampling, spatial, surface
 from heathgrid.queries import geo
@@ -166,3 +166,25 @@ def point_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "outcome", F.col("readout.elevation_ft.value").alias("elevation_ft"), F.col("readout.slope_deg.value").alias("slope_deg"), F.col("readout.aspect.kind").alias("aspect_kind"), F.col("readout.aspect.value.deg").alias("aspect_deg"),
         F.col("readout.landform.value").alias("landform"), F.col("readout.morphometry.value").alias("morphometry"),
     )
+
+
+_HILL = r._hill(315)
+
+
+@query(f"with {r.SURFACE}, h as (select x, y, {_HILL} as v, dx from s) select x, y, case when dx is null then 0 else floor(v * 255 + 0.5)::int end as grey, case when dx is null then 0 else 204 end as alpha from h")
+def hillshade_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey of the hillshade at four fifths opacity."""
+    cells = r.surfaced(spark, sf_dir).withColumn("c", pixels.shade(solar.hillshade(F.col("dzdx"), F.col("dzdy")), 0.8))
+    return cells.select("x", "y", F.col("c.r").alias("grey"), F.col("c.a").alias("alpha"))
+
+
+@query(
+    f"with {r.SURFACE}, m as (select x, y, coalesce(slope between 12 and 40, false) as i from s), k as (select m.*, i and (select count(*) from m n where n.i and abs(n.x - m.x) + abs(n.y - m.y) = 1 and n.x between m.x - 1 and m.x + 1) < 4 as edge from m) "
+    "select x, y, case when not i then 0 when edge then 255 else 200 end as r, case when not i then 0 when edge then 170 else 100 end as g, case when not i then 0 when edge then 120 else 50 end as b, case when not i then 0 when edge then 255 else 153 end as a from k"
+)
+def mask_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slope filter's cells in its colour, with their outline."""
+    cells = r.surfaced(spark, sf_dir).select("x", "y", F.col("slope").between(12, 40).alias("i"))
+    edges = spatial.outline(cells.where("i").select(F.lit(0).alias("id"), "x", "y")).select("x", "y", "edge")
+    c = pixels.mask(F.col("i"), F.lit("#c86432"), F.lit(0.6), F.coalesce("edge", F.lit(False)))
+    return cells.join(edges, ["x", "y"], "left").select("x", "y", c.alias("c")).select("x", "y", "c.*")
