@@ -308,12 +308,12 @@ def edge_step_cost(spark, sf_dir):
 def flat_cost_distance(spark, sf_dir):
     """The raster's cells as flat ground, where the distance is known in closed form."""
     flat = r.raster(spark, sf_dir).select("grid_id", "x", "y", F.lit(1.0).alias("base"), F.lit(0.0).alias("dzdx"), F.lit(0.0).alias("dzdy"))
-    return cost.over_grids(flat, [(20, 5)], [(40, 5)], 10.0).select("x", "y", shown(F.col("cost_a"), 7).alias("hours"))
+    return cost.accumulated(flat, [(20, 5)], 10.0).select("x", "y", shown(F.col("cost"), 7).alias("hours"))
 
 
 @query()
 def corridor_events(spark, sf_dir):
-    return cost.over_grids(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).select("x", "y", *(F.round(k, 7).alias(k) for k in ("cost_a", "cost_b", "excess", "strength", "pinch")), "inside")
+    return cost.corridor(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).select("x", "y", *(F.round(k, 7).alias(k) for k in ("cost_a", "cost_b", "excess", "strength", "pinch")), "inside")
 
 
 # ---- stands and areas ---------------------------------------------------------------------------------

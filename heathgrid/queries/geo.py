@@ -256,4 +256,4 @@ def cast_shadow(spark, sf_dir):
 def pinch_points(spark, sf_dir):
     from heathgrid.queries.field import cost_cells
 
-    return cost.over_grids(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).where("pinch > 0.35").select("x", "y", F.round("pinch", 6).alias("pinch"))
+    return cost.corridor(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).where("pinch > 0.35").select("x", "y", F.round("pinch", 6).alias("pinch"))
