@@ -127,12 +127,6 @@ def selection_ci(spark, sf_dir):
     return rows.groupBy("used").agg(F.count("*").alias("n"), F.round(F.max("i.low"), 6).alias("low"), F.round(F.max("i.high"), 6).alias("high"))
 
 
-@query(f"with {OBS}, d as (select date_diff('microsecond', date_trunc('day', observed_at) + interval 6 hour, observed_at) / 60e6 as m from obs where kind = 'SIGHTING'), c as (select (floor(m / 30 + 0.5) * 30)::int as minutes, count(*) as n from d where abs(m) <= 240 group by 1) select g::int as minutes, coalesce(n, 0) as n from generate_series(-240, 240, 30) t(g) left join c on minutes = g")
-def solar_buckets(spark, sf_dir):
-    rows = observations(spark, sf_dir).where("kind = 'SIGHTING'").withColumn("sun", F.expr("date_trunc('day', observed_at) + interval 6 hours"))
-    return selection.solar_buckets(rows, "observed_at", "sun")
-
-
 @query(f"with {OBS} select case when pressure_trend_3h is null then 'unknown' when pressure_trend_3h <= -3 then 'falling fast' when pressure_trend_3h <= -1 then 'falling' when pressure_trend_3h < 1 then 'steady' when pressure_trend_3h < 3 then 'rising' else 'rising fast' end as trend, count(*) as n from obs where kind = 'SIGHTING' group by 1")
 def pressure_groups(spark, sf_dir):
     return observations(spark, sf_dir).where("kind = 'SIGHTING'").groupBy(selection.pressure_label(F.col("pressure_trend_3h")).alias("trend")).agg(F.count("*").alias("n"))
@@ -205,12 +199,69 @@ def solar_position(spark, sf_dir):
     return e.select("event_id", sun.alias("s")).select("event_id", shown(F.col("s.altitude"), 5).alias("altitude"), F.round("s.azimuth", 4).alias("azimuth"))
 
 
-@query()
+def _altitude_sql(rows: str) -> str:
+    """rows (tm in seconds, lat, lng, ...) with the sun's altitude as alt."""
+    layers = [
+        "*, (tm / 86400 + 2440587.5::double - 2451545.0::double) / 36525 as t",
+        "*, 280.46646::double + t * 36000.76983::double + t * t * 0.0003032::double as l00, radians(357.52911::double + t * 35999.05029::double - t * t * 0.0001537::double) as m, radians(125.04::double - 1934.136::double * t) as om, 0.016708634::double - t * 0.000042037::double - t * t * 0.0000001267::double as ec",
+        "*, l00 - 360 * floor(l00 / 360) as l0",
+        "*, radians(l0 + sin(m) * (1.914602::double - t * 0.004817::double - t * t * 0.000014::double) + sin(2 * m) * (0.019993::double - t * 0.000101::double) + sin(3 * m) * 0.000289::double - 0.00569::double - 0.00478::double * sin(om)) as ap, "
+        "radians(23 + 26 / 60.0::double + 21.448::double / 3600 - t * 46.815::double / 3600 - t * t * 0.00059::double / 3600 + t * t * t * 0.001813::double / 3600 + cos(om) * 0.00256::double) as ep",
+        "*, asin(sin(ep) * sin(ap)) as de, pow(tan(ep / 2), 2) as y, 2 * radians(l0) as l2",
+        "*, 4 * degrees(y * sin(l2) - 2 * ec * sin(m) + 4 * ec * y * sin(m) * cos(l2) - 0.5 * y * y * sin(2 * l2) - 1.25 * ec * ec * sin(2 * m)) as eq",
+        "*, (tm - 86400 * floor(tm / 86400)) / 60 + eq + 4 * lng as tst",
+        "*, radians((tst - 1440 * floor(tst / 1440)) / 4 - 180) as ha",
+        "* exclude (t, l00, m, om, ec, l0, ap, ep, de, y, l2, eq, tst, ha), 90 - degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(de) + cos(radians(lat)) * cos(de) * cos(ha))))) as alt",
+    ]
+    for layer in layers:
+        rows = f"(select {layer} from {rows})"
+    return rows
+
+
+def _sun_times_sql(rows: str) -> str:
+    """Common table expressions from rows (observed_at, lat, lng, ...): st has the rows with sunrise and sunset."""
+    out = (
+        f"keyed as (select *, floor((epoch(observed_at) + lng * 240) / 86400) * 86400 - lng * 240 as start from {rows}), sd as (select distinct start, lat, lng from keyed), "
+        f"su as (select start, lat, lng, k, alt > 0 as up from {_altitude_sql('(select *, start + k * 600 as tm from sd, range(145) r(k))')}), sw as (select *, lag(up) over (partition by start, lat, lng order by k) as was from su), "
+        "s0 as (select start, lat, lng, up as rise, min(k - 1) * 600.0::double as low from sw where up <> was group by 1, 2, 3, 4)"
+    )
+    for i in range(20):
+        width = 600 / 2 ** (i + 1)
+        source = f"(select *, start + low + {width}::double as tm from s{i})"
+        out += f", s{i + 1} as (select start, lat, lng, rise, case when (alt > 0) = rise then low else low + {width}::double end as low from {_altitude_sql(source)})"
+    at = lambda rise: f"make_timestamp(floor((start + max(low) filter (rise = {rise})) * 1e6)::bigint)"
+    return f"{out}, times as (select start, lat, lng, {at('true')} as sunrise, {at('false')} as sunset from s20 group by start, lat, lng), st as (select keyed.*, sunrise, sunset from keyed left join times using (start, lat, lng))"
+
+
+_PLACED = f"{OBS.replace('obs as (', 'obs0 as (', 1)}, obs as (select * exclude (lat, lng), 39.7::double as lat, -84.2::double as lng from obs0)"
+
+
+@query(f"with {_PLACED}, {_sun_times_sql('obs')} select id, sunrise, sunset from st")
 def sun_times(spark, sf_dir):
     rows = observations(spark, sf_dir).select("id", "observed_at", F.lit(39.7).alias("lat"), F.lit(-84.2).alias("lng"))
     return solar.sun_times(rows, "observed_at", "lat", "lng").select("id", "sunrise", "sunset")
 
 
+def _buckets_sql(event: str) -> str:
+    return f"with {_PLACED}, {_sun_times_sql('obs')}, d as (select date_diff('microsecond', {event}, observed_at) / 60e6 as m from st where kind = 'SIGHTING'), c as (select (floor(m / 30 + 0.5) * 30)::int as minutes, count(*) as n from d where abs(m) <= 240 group by 1) select g::int as minutes, coalesce(n, 0) as n from generate_series(-240, 240, 30) t(g) left join c on minutes = g"
+
+
+def _buckets(spark, sf_dir, event):
+    """Sightings by their time after the day's own sunrise or sunset."""
+    rows = observations(spark, sf_dir).where("kind = 'SIGHTING'").withColumns({"lat": F.lit(39.7), "lng": F.lit(-84.2)})
+    return selection.solar_buckets(solar.sun_times(rows, "observed_at", "lat", "lng"), "observed_at", event)
+
+
+@query(_buckets_sql("sunrise"))
+def solar_buckets(spark, sf_dir):
+    return _buckets(spark, sf_dir, "sunrise")
+
+
+@query(_buckets_sql("sunset"))
+def sunset_buckets(spark, sf_dir):
+    return _buckets(spark, sf_dir, "sunset")
+
+
 # ---- relations: customers own orders as properties and their children; suppliers are members of nations --------
 
 
