@@ -15,6 +15,8 @@ ASPECT_BINS = [("N", 337.5, 22.5), ("NE", 22.5, 67.5), ("E", 67.5, 112.5), ("SE"
 #: Chi-square at 95 % for 1 to 30 degrees of freedom.
 CRITICAL = (3.841, 5.991, 7.815, 9.488, 11.07, 12.592, 14.067, 15.507, 16.919, 18.307, 19.675, 21.026, 22.362, 23.685, 24.996, 26.296, 27.587, 28.869, 30.144, 31.41, 32.671, 33.924, 35.172, 36.415, 37.652, 38.885, 40.113, 41.337, 42.557, 43.773)
 LEAST_EXPECTED = 5.0
+#: Fixed value: fewest uses that are read.
+LEAST_USES = 10
 
 
 def every_bin():
@@ -113,13 +115,20 @@ def ratio_interval(used: Column, total: Column, available: Column, z: float = 1.
 
 
 def readout(rows: DataFrame) -> DataFrame:
-    """One line of text from analysis(): too few uses, no significance, or the bins most and least chosen (ties: the first)."""
-    some = F.col("used") > 0
-    best = F.max_by(F.when(some, F.col("label")), F.when(some, F.struct(F.col("ratio"), -F.col("bin"))))
-    worst = F.min_by(F.when(some, F.col("label")), F.when(some, F.struct(F.col("ratio"), F.col("bin"))))
-    out = rows.agg(F.max("used_total").alias("n"), F.bool_or("significant").alias("sig"), best.alias("best"), worst.alias("worst"))
-    text = F.when(F.col("n") < 10, F.format_string("Only %d uses: too few to read.", "n")).when(~F.coalesce("sig", F.lit(False)), F.format_string("%d uses: no significant selection.", "n"))
-    return out.select(text.otherwise(F.format_string("%d uses: most chosen %s, least chosen %s.", "n", "best", "worst")).alias("readout"))
+    """readout, n, best, ratio, used, worst of an analysis(): one line of text, with what it says as columns.
+
+    Too few uses, no significance, or the bins most and least chosen of those used at all (ties: the first); columns
+    beyond n are NULL where the text makes no claim. A line claims a pattern only where chi-square does.
+    """
+    some = (F.col("used") > 0) & F.col("ratio").isNotNull()
+    by = lambda sign: F.struct("ratio", (F.col("bin") * sign).alias("bin"))
+    top = F.max_by(F.when(some, F.struct("label", "ratio", "used")), F.when(some, by(-1)))
+    worst = F.min_by(F.when(some, F.col("label")), F.when(some, by(1)))
+    out = rows.agg(F.max("used_total").alias("n"), F.bool_or("significant").alias("sig"), top.alias("top"), worst.alias("low"))
+    claims = (F.col("n") >= LEAST_USES) & F.coalesce("sig", F.lit(False)) & F.col("top").isNotNull()
+    text = F.when(F.col("n") < LEAST_USES, F.format_string("Only %d uses: too few to read.", "n")).when(claims, F.format_string("%s: %.1f times its share of the ground (%d of %d uses). Least chosen: %s.", "top.label", "top.ratio", "top.used", "n", "low"))
+    said = lambda c: F.when(claims, F.col(c))
+    return out.select(text.otherwise(F.format_string("%d uses: no significant selection.", "n")).alias("readout"), "n", said("top.label").alias("best"), said("top.ratio").alias("ratio"), said("top.used").alias("used"), said("low").alias("worst"))
 
 
 def solar_buckets(rows: DataFrame, ts: str, sun: str, step: int = 30, most: int = 240) -> DataFrame:

@@ -115,9 +115,24 @@ for _name in BINS:
     _register_shares(_name)
 
 
-@query()
-def selection_readout(spark, sf_dir):
-    return selection.readout(_analysis(spark, sf_dir, "slope"))
+_READ = (
+    "t as (select max(used_total) as n, bool_or(significant) as sig, arg_max(label, (ratio, -bin)) filter (used > 0 and ratio is not null) as best, max(ratio) filter (used > 0) as ratio, arg_max(used, (ratio, -bin)) filter (used > 0 and ratio is not null) as used, arg_min(label, (ratio, bin)) filter (used > 0 and ratio is not null) as worst from a), "
+    "c as (select *, n >= 10 and coalesce(sig, false) and best is not null as ok from t) "
+    "select case when n < 10 then printf('Only %d uses: too few to read.', n::bigint) when ok then printf('%s: %.1f times its share of the ground (%d of %d uses). Least chosen: %s.', best, ratio, used::bigint, n::bigint, worst) else printf('%d uses: no significant selection.', n::bigint) end as readout, n, case when ok then best end as best, case when ok then ratio end as ratio, case when ok then used end as used, case when ok then worst end as worst from c"
+)
+
+
+def _register_readout(name: str):
+    @query(f"with a as ({ORACLE[f'selection_{name}']}), {_READ}")
+    def f(spark, sf_dir):
+        return selection.readout(_analysis(spark, sf_dir, name)).withColumn("ratio", F.round("ratio", 6))
+
+    key = "selection_readout" if name == "slope" else f"selection_readout_{name}"
+    QUERIES[key], ORACLE[key] = QUERIES.pop("f"), ORACLE.pop("f")
+
+
+for _name in BINS:
+    _register_readout(_name)
 
 
 @query("with t(used, total, p) as (select l_linenumber, 40, 0.02 * l_linenumber from lineitem) select used::bigint as used, count(*) as n, round(max(used / 40.0::double / p * exp(-1.96 * sqrt((1 - used / 40.0::double) / used))), 6) as low, round(max(used / 40.0::double / p * exp(1.96 * sqrt((1 - used / 40.0::double) / used))), 6) as high from t group by used")
