@@ -66,7 +66,7 @@ CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article content post entry story prose".split())
 
 #: Log-odds that markup adds, what a text may say at most, smoothness of neighbours, in thousandths when they are capacities.
-SIDE, INSIDE, NAMED, OUTSIDE, MOST = -12.0, 5.0, 1.5, -3.5, 4.0
+SIDE, INSIDE, NAMED, OUTSIDE, UNNAMED, MOST = -12.0, 5.0, 1.5, -3.5, -1.0, 4.0
 ADJACENT, SIBLING = 0.4, 0.9
 #: bias, length, links, punctuation, sentence end, heading, list item, marks of page furniture, digits
 PRIOR = (-0.3, 1.2, -4.0, 1.0, 1.0, 2.0, -0.7, -2.5, -1.0)
@@ -322,11 +322,14 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
 
 def log_odds(blocks: list[Block], weights: list[float]) -> list[float]:
     within = any(b.inside and not b.side for b in blocks)
+    named = any(b.named and not b.side for b in blocks)
+    # what stands beside an article's element, or beside one that is only named like it, is less likely content
+    beside = OUTSIDE if within else UNNAMED if named else 0.0
     out = []
     for b in blocks:
         text = sum(w * f for w, f in zip(weights, features(b), strict=True))
         text = max(-MOST, min(MOST, text))
-        out.append(text + (SIDE if b.side else INSIDE if b.inside else (NAMED if b.named else 0.0) + (OUTSIDE if within else 0.0)))
+        out.append(text + (SIDE if b.side else INSIDE if b.inside else (NAMED if b.named and not within else beside)))
     return out
 
 

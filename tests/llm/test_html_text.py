@@ -110,6 +110,11 @@ def test_pages_without_names():
     assert text(page).split("\n") == ["The flood of the year", *PROSE]
 
 
+def test_beside_what_is_named_like_an_article():
+    page = "<body><div>Get the weekly letter from us</div><h1>The flood of the year</h1><div id=post-body>" + "".join(f"<p>{x}" for x in PROSE) + "</div><div>More on floods</div>"
+    assert text(page).split("\n") == ["The flood of the year", *PROSE]
+
+
 def test_hostile_pages_take_time_in_proportion():
     for piece in ("<div>", "<a \"", "<!--", "<p", "<li><b>", "</div>", "&am", "<span class=ad>", "<table><tr><td>", "<script>", "<p>x</p>"):
         page = piece * (400_000 // len(piece))
