@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heathgrid.functions import geometry, georef, pixels, readout, solar
 from heathgrid.functions.num import shown, worked_out
-from heathgrid.operators import landform, mosaic, sampling, spatial, surface
+from heathgrid.operators import landform, mosaic, repair, sampling, spatial, surface
 from heathgrid.queries import geo
 from heathgrid.queries import raster as r
 from heathgrid.shared import cut, remove_folder, shared_folder
@@ -188,3 +188,21 @@ def mask_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spatial.outline(cells.where("i").select(F.lit(0).alias("id"), "x", "y")).select("x", "y", "edge")
     c = pixels.mask(F.col("i"), F.lit("#c86432"), F.lit(0.6), F.coalesce("edge", F.lit(False)))
     return cells.join(edges, ["x", "y"], "left").select("x", "y", c.alias("c")).select("x", "y", "c.*")
+
+
+@query("with a as (select s_suppkey as id, (s_suppkey % 9 + 1) / 4.0::double as d from supplier) select id, case when id % 3 = 0 then 1 else 2 end as n_polygons, case when id % 3 = 2 then 1 else 0 end as n_holes, round(case id % 3 when 0 then 4 * d * d when 1 then 2 * d * d else 5 * d * d end, 6) as area from a")
+def rings_made_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares, bow ties, and squares with a hole beside a square that touches a corner; the planar area of what they are made into."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k, d = F.col("s_suppkey"), (F.col("s_suppkey") % 9 + 1) / 4.0
+    x, y = (k * 6151 % 34000) / 100.0 - 170, (k * 98317 % 13000) / 100.0 - 65
+    ring = lambda *at: F.array(*(geometry.point(x + d * a, y + d * b) for a, b in at))
+    square, tie = ring((0, 0), (2, 0), (2, 2), (0, 2)), ring((0, 0), (2, 2), (2, 0), (0, 2))
+    odd = F.array(ring((0, 0), (2, 0), (2, 2), (0, 2)), ring((0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)), ring((2, 2), (4, 2), (4, 3), (2, 3)))
+    rows = s.select(k.alias("id"), F.when(k % 3 == 0, F.array(square)).when(k % 3 == 1, F.array(tie)).otherwise(odd).alias("polygon"))
+    out = repair.repaired(rows)
+    turned = lambda r, i: r[i]["lng"] * r[(i + 1) % F.size(r)]["lat"] - r[(i + 1) % F.size(r)]["lng"] * r[i]["lat"]
+    planar = lambda r: F.abs(F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.lit(0.0), lambda s, i: s + turned(r, i)) / 2)
+    ground = F.aggregate("polygons", F.lit(0.0), lambda s, p: s + planar(p[0]) - F.aggregate(F.slice(p, 2, F.size(p)), F.lit(0.0), lambda t, r: t + planar(r)))
+    holes = F.aggregate("polygons", F.lit(0), lambda n, p: n + F.size(p) - 1)
+    return out.select("id", F.size("polygons").alias("n_polygons"), holes.alias("n_holes"), F.round(ground, 6).alias("area"))
