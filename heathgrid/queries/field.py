@@ -377,11 +377,48 @@ def flat_cost_distance(spark, sf_dir):
     return cost.accumulated(flat, [(20, 5)], 10.0).select("x", "y", shown(F.col("cost"), 7).alias("hours"))
 
 
-@query()
+def _reach_sql(name: str, x: int, y: int, start: str, end: str) -> str:
+    """Least costs from a cell along edges ed, lowered round by round until none is lower."""
+    return (
+        f"{name}(x, y, c) using key (x, y) as (select {x}, {y}, 0.0::double union (select ed.{end}x, ed.{end}y, min({name}.c + ed.cost) from {name} join ed on ed.{start}x = {name}.x and ed.{start}y = {name}.y "
+        f"left join recurring.{name} r on r.x = ed.{end}x and r.y = ed.{end}y where {name}.c + ed.cost < coalesce(r.c, 1e300) group by 1, 2))"
+    )
+
+
+def _chords_sql() -> str:
+    import math
+
+    at = lambda v: math.floor(v + 0.5)
+    turns = [(k, sign, n, at(math.cos(math.pi * k / 8) * n * sign), at(math.sin(math.pi * k / 8) * n * sign)) for k in range(8) for sign in (1, -1) for n in range(1, cost.PINCH_RADIUS + 1)]
+    rows = ", ".join(map(str, turns))
+    return (
+        f"wt(k, sign, n, ox, oy) as (values {rows}), q as (select x, y from h where inside), "
+        f"len as (select q.x, q.y, k, sign, coalesce(min(n) filter (t.x is null), {cost.PINCH_RADIUS + 1}) - 1 as n from q cross join wt left join q t on t.x = q.x + ox and t.y = q.y + oy group by 1, 2, 3, 4), "
+        f"tight as (select x, y, greatest(0, 1 - min(chord) / (0.75::double * {cost.PINCH_RADIUS})) as pinch from (select x, y, k, 1 + sum(n) as chord from len group by 1, 2, 3) group by 1, 2)"
+    )
+
+
+CORRIDOR = (
+    f"with recursive {BASE}, o(ox, oy) as (select a, b from range(-1, 2) t(a), range(-1, 2) u(b) where a <> 0 or b <> 0), "
+    "j as (select a.x, a.y, b.x as to_x, b.y as to_y, a.base as b0, b.base as b1, sqrt(ox * ox + oy * oy) * 10 as way, ((a.gx + b.gx) * ox + (a.gy + b.gy) * oy) * 5 as rise from k a cross join o join k b on b.x = a.x + ox and b.y = a.y + oy where a.base is not null and b.base is not null), "
+    "ed as materialized (select x, y, to_x, to_y, way / 1000 / (6 * exp(-3.5 * abs(rise / way + 0.05))) * (b0 + b1) / 2 as cost from j), "
+    f"{_reach_sql('da', 5, 5, '', 'to_')}, {_reach_sql('db', 90, 5, 'to_', '')}, "
+    "g2 as (select k.x, k.y, da.c as cost_a, db.c as cost_b, da.c + db.c - min(da.c + db.c) over () as excess, min(da.c + db.c) over () as best from k left join da on da.x = k.x and da.y = k.y left join db on db.x = k.x and db.y = k.y), "
+    f"h as materialized (select *, coalesce(excess <= best * {cost.TOLERANCE}::double, false) as inside from g2), {_chords_sql()}, "
+    f"f as (select h.x, h.y, round(cost_a, 7) as cost_a, round(cost_b, 7) as cost_b, round(excess, 7) as excess, round(case when inside then 1 - excess / (best * {cost.TOLERANCE}::double) else 0 end, 7) as strength, round(coalesce(pinch, 0), 7) as pinch, inside from h left join tight using (x, y))"
+)
+
+
+@query(f"{CORRIDOR} select * from f")
 def corridor_events(spark, sf_dir):
     return cost.corridor(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).select("x", "y", *(F.round(k, 7).alias(k) for k in ("cost_a", "cost_b", "excess", "strength", "pinch")), "inside")
 
 
+@query(f"{CORRIDOR} select x, y, pinch from f where pinch > 0.35")
+def pinch_points(spark, sf_dir):
+    return corridor_events(spark, sf_dir).where("pinch > 0.35").select("x", "y", "pinch")
+
+
 # ---- stands and areas ---------------------------------------------------------------------------------
 
 STANDS = "s as (select s_suppkey as id, (['rising', 'sinking', 'transition'])[(s_suppkey % 3 + 1)::int] as phase, (s_suppkey % 21 - 10) / 10.0::double as exposure, case when s_suppkey % 11 = 0 then null else (s_suppkey * 53 % 360)::double end as thermal, (s_suppkey * 37 % 360)::double as wind, case when s_suppkey % 4 = 0 then [] else ['N', 'SE', 'W', 'NW'] end as winds from supplier)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heathgrid.functions import geometry, pixels, tiles
 from heathgrid.functions.num import shown
-from heathgrid.operators import cost, fieldlog, mosaic, rays, surface
+from heathgrid.operators import fieldlog, mosaic, rays, surface
 from heathgrid.plans import region
 from heathgrid.queries import raster as r
 
@@ -250,10 +250,3 @@ def terrain_shelter(spark, sf_dir):
 @query(f"with {r.CELLS}, {_ray_sql([(_math.sin(_math.radians(150)), -_math.cos(_math.radians(150)))], rays.SHADOW_REACH)} select x, y, case when t > tan(radians(12)) then 0 when gap then 2 else 1 end as shadow from h")
 def cast_shadow(spark, sf_dir):
     return mosaic.over_tiles(r.raster(spark, sf_dir), {"shadow": (rays.shadow, "int", r.CELL, 150.0, 12.0)}, rays.SHADOW_REACH).where("z is not null").select("x", "y", "shadow")
-
-
-@query()
-def pinch_points(spark, sf_dir):
-    from heathgrid.queries.field import cost_cells
-
-    return cost.corridor(cost_cells(spark, sf_dir), [(5, 5)], [(90, 5)], r.CELL).where("pinch > 0.35").select("x", "y", F.round("pinch", 6).alias("pinch"))
