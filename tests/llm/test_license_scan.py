@@ -93,3 +93,65 @@ def test_wrapped_notices_and_near_equal_templates(documents):
     cases["This work is licensed under the GNU Lesser General Public License, version 3."] = "gpl,lgpl"
     found = {r.doc_id: r.labels for r in s.scan(documents(*cases)).collect()}
     assert [found[i] for i in range(len(cases))] == [",".join(sorted(filter(None, v.split(",")))) for v in cases.values()]
+
+
+def test_names_are_no_chance_words_and_versions_are_told_apart(documents):
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    cases = {
+        "He was at MIT and then released the work under a license": "",
+        "The MIT group released the data under a new law. The license came later": "",
+        "released under the mit campus roof with license plates": "",
+        "the permission of any person to copy this software is granted free of charge and the documentation files were obtained": "",
+        "Licensed under the GNU General Public License, version 2. Chapter 3 begins": "gpl,gpl-2.0",
+        "Chapter 3. Version 2 of the GNU General Public License, version 3": "gpl,gpl-3.0",
+        header.format("", 3): "gpl,gpl-3.0", header.format("", 2): "gpl,gpl-2.0", header.format("Lesser ", "2.1"): "gpl,lgpl", header.format("Affero ", 3): "agpl-3.0,gpl",
+        "GNU General Public License version 3": "gpl,gpl-3.0", "The MIT License (MIT)": "mit", "licensed under MIT License": "mit",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "// SPDX-License-Identifier: AGPL-3.0": "agpl-3.0",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "BSD 3-Clause License": "bsd-3-clause", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0", "CC BY 4.0": "cc-by,cc-by-4.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0", "Mozilla Public License Version 2.0": "mpl-2.0",
+    }
+    found = {r.doc_id: r.labels for r in s.scan(documents(*cases)).collect()}
+    assert {k: found[i] for i, k in enumerate(cases)} == cases
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_scan_equals_every_block_looked_at(documents):
+    rng = random.Random(8)
+    keys = {(k, i): x for k, v in s.TEMPLATES.items() for i, x in enumerate([v, *s.FURTHER.get(k, [])])}
+    told, texts = s.apart(keys), []
+    for k, x in keys.items():
+        words = s.words_of(x)
+        for rate in (0, 0.04, 0.12):
+            edited = [rng.choice(["foo", "version", "license", "2", "3", w[::-1]]) if rng.random() < rate else w for w in words if rng.random() >= rate / 2]
+            at = rng.randrange(len(edited) + 1)
+            texts.append(" ".join(["so", "the", *edited[:at], *(["bar"] if rng.random() < 0.3 else []), *edited[at:], "and", "license"]))
+    texts += [f"{rng.choice(texts)}\n{rng.choice(texts)}" for _ in range(20)]
+    found, hits = {r.doc_id: (r.labels, r.score) for r in s.scan(documents(*texts)).collect()}, 0
+    for n, text in enumerate(texts):
+        words = s.words_of(text)
+        base = {v for _, v in naive_places(words)}
+        labels, score = set(base), 1.0 if base else 0.0
+        for k, x in keys.items():
+            own = s.words_of(x)
+            (needed, barred), span = told[k], len(own) + len(own) // 4
+            for a in range(len(words)):
+                block = words[a : a + span]
+                block = block[: next((i for i, w in enumerate(block) if w in barred), len(block))]
+                same = len(set(own) & set(block)) / len(set(own))
+                if same >= 0.8 - 1e-12 and needed <= set(block):
+                    share = longest(own, block) / len(own)
+                    if share >= 0.8 - 1e-12:
+                        labels.add(k[0])
+                        score = max(score, share)
+        assert found[n] == (",".join(sorted(labels)), score), text
+        hits += len(labels - base)
+    assert hits > 100
