@@ -117,3 +117,23 @@ def test_token_counts_of_documents(spark, documents, library, monkeypatch):
     assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == want
     blocks = token_files.write_blocks(docs, PATH, P.PATTERN, 50_256, block_tokens=5)
     assert sorted((r.doc_ids, r.n_tokens) for r in token_files.count(blocks, 50_256, "<u2", "doc_ids").collect()) == want
+
+
+@pytest.mark.parametrize(("block", "span"), [(1, 1), (1, 3), (2, 4), (5, 2)])
+def test_token_counts_in_spans_of_ranges(spark, tmp_path, block, span):
+    rng, want = random.Random(block * 10 + span), {}
+    for file in range(4):
+        tokens = [rng.choice([9, 1, 2, 3, 4, 5]) if file != 3 else 1 for _ in range(rng.randint(0, 70))]
+        np.array(tokens, "<u2").tofile(tmp_path / f"{file}.bin")
+        want |= {(f"{file}.bin", i): x for i, x in enumerate(flat_counts(tokens, 9))}
+    found = token_files.count(token_files.read_files(spark, str(tmp_path), 2 * block), 9, "<u2", span=span).collect()
+    assert {(r.file.rsplit("/", 1)[-1], r.ordinal): (r.n_tokens, r.complete) for r in found} == want
+
+
+def test_token_files_with_other_keys_and_without_rows(spark, documents, library, tmp_path):
+    docs = documents(*TEXTS).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.concat(F.lit("d"), F.col("doc_id")))).withColumn("file", F.lit("clash"))
+    found = token_files.count_documents(docs, str(tmp_path), PATH, P.PATTERN, 50_256, 6)
+    want = {f"d{i}" if i else None: len(library.encode_ordinary(x or "")) for i, x in enumerate(TEXTS)}
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == want
+    assert not token_files.count_documents(docs.limit(0), str(tmp_path), PATH, P.PATTERN, 50_256).collect()
+    assert not list(tmp_path.iterdir())  # the files are gone
