@@ -13,7 +13,7 @@ from heathgrid.operators import landform, mosaic, repair, sampling, spatial, sur
 from heathgrid.queries import geo
 from heathgrid.queries import raster as r
 from heathgrid.shared import cut, remove_folder, shared_folder
-from heathgrid.sources import geotiff
+from heathgrid.sources import geotiff, png
 
 QUERIES, ORACLE = {}, {}
 #: Place of the raster: its north-west corner, and degrees a cell.
@@ -178,6 +178,15 @@ def hillshade_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("x", "y", F.col("c.r").alias("grey"), F.col("c.a").alias("alpha"))
 
 
+@query(ORACLE["hillshade_rgba"])
+def hillshade_png_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hillshade as PNG images of 64 cells a side, read back to pixels within the raster."""
+    cells = r.surfaced(spark, sf_dir).withColumn("c", pixels.shade(solar.hillshade(F.col("dzdx"), F.col("dzdy")), 0.8))
+    read = png.pixels(png.tiles(cells.select("grid_id", "x", "y", "c.*"), 64), 64)
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return read.join(r.bounds(spark, sf_dir), "grid_id").where(inside).select("x", "y", F.col("r").alias("grey"), F.col("a").alias("alpha"))
+
+
 @query(
     f"with {r.SURFACE}, m as (select x, y, coalesce(slope between 12 and 40, false) as i from s), k as (select m.*, i and (select count(*) from m n where n.i and abs(n.x - m.x) + abs(n.y - m.y) = 1 and n.x between m.x - 1 and m.x + 1) < 4 as edge from m) "
     "select x, y, case when not i then 0 when edge then 255 else 200 end as r, case when not i then 0 when edge then 170 else 100 end as g, case when not i then 0 when edge then 120 else 50 end as b, case when not i then 0 when edge then 255 else 153 end as a from k"
