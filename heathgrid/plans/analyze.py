@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from heathgrid.plans import predicate
 
 #: Reach in cells of each layer's window.
 SMALL, LARGE, VRM, RING = 3, 20, 4, 8
-LAYERS = ("slope", "aspect", "curvature", "ruggedness", "vrm", "tpi_small", "tpi_large", "weiss", "wood", "bench", "hillshade", "insolation", "wind_exposure", "shelter", "sky_view", "bedding")
+LAYERS = ("slope", "aspect", "curvature", "ruggedness", "vrm", "tpi_small", "tpi_large", "weiss", "wood", "bench", "hillshade", "multi_hillshade", "insolation", "wind_exposure", "shelter", "sky_view", "bedding")
 REACH = {
     "tpi_small": SMALL, "tpi_large": LARGE, "weiss": LARGE, "vrm": VRM + 1, "bench": RING + 1, "sky_view": rays.SKY_REACH, "shelter": rays.SHELTER_REACH,
     "bedding": max(rays.SHELTER_REACH, VRM + 1, RING + 1),
@@ -37,15 +39,21 @@ def widened(x0: int, x1: int, y0: int, y1: int, layers: set[str]) -> tuple[int,
     return x0 - h, x1 + h, y0 - h, y1 + h
 
 
-def analyze(cells: DataFrame, layers: set[str], cell_size: float, halo: int, wind_from: float | None = None, sun: tuple[float, float] | None = None, celsius: float | None = None) -> DataFrame:
+def analyze(cells: DataFrame, layers: set[str], cell_size: float, halo: int, wind_from: float | None = None, sun: tuple[float, float] | None = None, celsius: float | None = None, at: tuple[datetime, float, float] | None = None) -> DataFrame:
     """cells (grid_id, x, y, z; the halo's included) with the wanted layers' columns, without the halo's rows.
 
-    sun is (altitude, azimuth). Layers of the wind are left out without a wind. Raises InsufficientHalo, and
-    ValueError for an unknown layer. Columns that only lead to wanted ones are dropped, so Catalyst prunes
+    sun is (altitude, azimuth), or else worked out for `at` (time in the session's zone, which is to be UTC;
+    latitude, longitude). Layers of the wind are left out without a wind; bedding goes without its terms of
+    the cold without a sun or a temperature. Raises InsufficientHalo, and ValueError for an unknown layer and
+    for insolation without a sun. Columns that only lead to wanted ones are dropped, so Catalyst prunes
     what nobody reads.
     """
     if unknown := layers - set(LAYERS):
         raise ValueError(f"unknown layers: {', '.join(sorted(unknown))}")
+    if sun is None and at is not None:
+        sun = tuple(cells.sparkSession.range(1).select(solar.sun(*map(F.lit, at)).alias("s")).select("s.*").first())
+    if sun is None and "insolation" in layers:
+        raise ValueError("insolation needs a sun, or a time and place")
     layers = {x for x in layers if x not in WINDY or wind_from is not None}
     if (need := required_halo(layers)) > halo:
         raise InsufficientHalo(need, halo, sorted(x for x in layers if REACH.get(x, 1) > halo))
@@ -86,6 +94,8 @@ def analyze(cells: DataFrame, layers: set[str], cell_size: float, halo: int, win
         out = out.join(found, ["grid_id", "x", "y"])
     if want("hillshade"):
         out = out.withColumn("hillshade", solar.hillshade(F.col("dzdx"), F.col("dzdy")))
+    if want("multi_hillshade"):
+        out = out.withColumn("multi_hillshade", solar.multi_hillshade(F.col("dzdx"), F.col("dzdy")))
     if sun is not None and want("insolation", "bedding"):
         out = out.withColumn("insolation", solar.insolation(F.col("slope"), F.col("aspect"), F.lit(float(sun[0])), F.lit(float(sun[1]))))
     if want("wind_exposure", "bedding"):

@@ -1,6 +1,10 @@
+from datetime import datetime
+
 import pytest
+from pyspark.sql import functions as F
 from test_surface import CELL, grid
 
+from heathgrid.functions import solar
 from heathgrid.plans import analyze as a
 from heathgrid.plans import predicate as p
 
@@ -34,3 +38,17 @@ def test_area_share(spark):
     one = a.area_share(cells, p.within("slope", 8, 20), CELL, 1).first()
     assert one.cells == 361 and 0.4 < one.share < 0.6 and one.advice == "tighten"
     assert a.layers_of(p.PRESETS["Thermal sinks"]) == {"curvature", "sky_view"}
+
+
+def test_the_sun_is_worked_out_or_asked_for(spark):
+    cells = grid(spark, lambda x, y: 0.2 * x + 0.1 * y + 500, 5)
+    with pytest.raises(ValueError, match="sun"):
+        a.analyze(cells, {"insolation"}, CELL, 1)
+    at = (datetime(2024, 3, 20, 17, 30), 39.7, -84.2)
+    found = a.analyze(cells, {"insolation", "multi_hillshade"}, CELL, 1, at=at)
+    assert found.columns == ["grid_id", "x", "y", "z", "multi_hillshade", "insolation"]
+    sun = spark.range(1).select(solar.sun(*map(F.lit, at)).alias("s")).first().s
+    assert 45 < sun.altitude < 55 and 160 < sun.azimuth < 200
+    given = a.analyze(cells, {"insolation", "multi_hillshade"}, CELL, 1, sun=(sun.altitude, sun.azimuth))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, given.collect()))
+    assert all(0 < r.insolation < 1 and 0 < r.multi_hillshade < 1 for r in found.collect())
