@@ -106,24 +106,27 @@ def replayed(mutations: DataFrame, entities: DataFrame) -> DataFrame:
     it's a conflict that carries the entity's version. The state is one number, so an entity's mutations
     stream past it in order; entities run apart, and none has to fit in memory. Repeated rows each apply
     in turn; a null base version is a conflict, and an entity that isn't there gives `missing`.
+
+    A window numbers the mutations: unlike a plain repartition, which adaptive plans may read mapper by mapper
+    again once the join is broadcast, it demands an entity in one place and in order. Number 1 starts an entity.
     """
     start = entities.select(F.col("id").alias("entity_id"), F.col("version").cast("bigint").alias("_v"))
     log = mutations.select("entity_id", F.col("seq").cast("bigint").alias("seq"), F.col("base_version").cast("bigint").alias("base_version")).join(start, "entity_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, v = object(), None
+        v = None
         for batch in batches:
             status, version = [], []
-            for one, base, first in zip(*(batch.column(k).to_pylist() for k in ("entity_id", "base_version", "_v")), strict=True):
-                if one != at:
-                    at, v = one, first
+            for n, base, first in zip(*(batch.column(k).to_pylist() for k in ("_n", "base_version", "_v")), strict=True):
+                if n == 1:
+                    v = first
                 hit = v is not None and base == v
                 v = v + 1 if hit else v
                 status.append("missing" if v is None else "applied" if hit else "conflict")
                 version.append(v)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("entity_id", "seq", "base_version")), pa.array(status, pa.string()), pa.array(version, pa.int64())], names=["entity_id", "seq", "base_version", "status", "version"])
 
-    ordered = log.repartition("entity_id").sortWithinPartitions("entity_id", "seq", "base_version")
+    ordered = log.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id").orderBy("seq", "base_version")))
     return ordered.mapInArrow(run, f"entity_id {dict(mutations.dtypes)['entity_id']}, seq bigint, base_version bigint, status string, version bigint")
 
 
