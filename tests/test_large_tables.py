@@ -38,11 +38,12 @@ def conf(spark):
 
 def test_replay_when_the_join_turns_into_a_broadcast(spark, conf):
     conf(autoBroadcastJoinThreshold="-1", adaptive_autoBroadcastJoinThreshold="10m")
-    log = spark.range(0, 4000, 1, 8).selectExpr("(id * 31) % 20 as entity_id", "id as seq", "(id * 17) % 4 as base_version")
+    log = spark.range(0, 4000, 1, 8).selectExpr("(id * 31) % 20 as entity_id", "id as seq", "id div 20 + 1 - id div 3000 as base_version")
     start = log.selectExpr("entity_id as id", "1L as version").distinct()
     at, want = dict.fromkeys(range(20), 1), {}
     for k in range(4000):
-        one, hit = k * 31 % 20, k * 17 % 4 == at[k * 31 % 20]
+        one = k * 31 % 20
+        hit = k // 20 + 1 - k // 3000 == at[one]
         at[one] += hit
         want[k] = ("applied" if hit else "conflict", at[one])
     assert {r.seq: (r.status, r.version) for r in fieldlog.replayed(log, start).collect()} == want
