@@ -9,6 +9,8 @@ from heathgrid.functions.num import clamp, half_up
 
 #: The no-data height, and the least height that is data.
 NO_DATA, FLOOR = -32768.0, -32767.0
+#: Steps that three bytes tell apart; least height and steps a metre of the encodings.
+STEPS, TERRARIUM, TERRAIN_RGB = 2**24, (NO_DATA, 256), (-10000.0, 10)
 
 
 def elevation(z: Column) -> Column:
@@ -42,6 +44,21 @@ def encode_terrain_rgb(z: Column) -> Column:
     return _rgba(z, F.floor(v / 65536) % 256, F.floor(v / 256) % 256, v % 256)
 
 
+def paged(z: Column, least: float, per_metre: int) -> Column:
+    """Struct of page and z: the height to the encoding's step, brought by whole spans of three bytes into what the bytes hold; NULL for an unknown height.
+
+    The bytes end at 32,768 m, or 1,667,721.6 m; the page, kept beside the pixel, leads back to heights beyond.
+    """
+    n = half_up((z - least) * float(per_metre))
+    page = F.floor(n / float(STEPS))
+    return F.struct(page.alias("page"), ((n - page * STEPS) / float(per_metre) + least).alias("z"))
+
+
+def unpaged(z: Column, page: Column, per_metre: int) -> Column:
+    """The height that a page and a pixel's height stand for."""
+    return z + page * (STEPS / per_metre)
+
+
 def _rgba(z: Column, *parts: Column) -> Column:
     each = [F.coalesce(F.when(z.isNotNull(), p), F.lit(0)).cast("int").alias(k) for k, p in zip("rgb", parts, strict=True)]
     return F.struct(*each, F.when(z.isNotNull(), 255).otherwise(0).alias("a"))

@@ -47,3 +47,10 @@ def test_replay_when_the_join_turns_into_a_broadcast(spark, conf):
         at[one] += hit
         want[k] = ("applied" if hit else "conflict", at[one])
     assert {r.seq: (r.status, r.version) for r in fieldlog.replayed(log, start).collect()} == want
+
+
+def test_pixels_of_heights_beyond_their_bytes(spark, tmp_path):
+    ids = [50, 1_000, 1_100_000, 1_100_099, 3_600_001, 3_600_098, 5_999_900, 5_999_999, 90_000_000, 90_000_099]
+    events = {"event_id": [*ids, 7], "value": pa.array([*(k * 3.17 for k in range(len(ids))), None], pa.float64())}
+    found, want = both(spark, tmp_path, "rgb_roundtrip", events=events)
+    assert found == want
