@@ -37,7 +37,7 @@ def conf(spark):
 
 
 def test_replay_when_the_join_turns_into_a_broadcast(spark, conf):
-    conf(autoBroadcastJoinThreshold="-1", adaptive_autoBroadcastJoinThreshold="10m")
+    conf(autoBroadcastJoinThreshold="-1", adaptive_autoBroadcastJoinThreshold="10m", adaptive_coalescePartitions_enabled="false")
     log = spark.range(0, 4000, 1, 8).selectExpr("(id * 31) % 20 as entity_id", "id as seq", "id div 20 + 1 - id div 3000 as base_version")
     start = log.selectExpr("entity_id as id", "1L as version").distinct()
     at, want = dict.fromkeys(range(20), 1), {}
