@@ -61,11 +61,15 @@ def longitude_spans(west: Column, east: Column) -> Column:
 
 
 def tiles_over(boxes: DataFrame, zooms: list[int]) -> DataFrame:
-    """boxes (west, south, east, north, ...) with zoom, x, y of every tile over each: generated in place, without a join."""
-    rows = boxes.withColumn("zoom", F.explode(F.array(*map(F.lit, zooms)))).withColumn("_s", F.explode(longitude_spans(F.col("west"), F.col("east"))))
-    rows = rows.withColumn("_r", tile_ranges(F.col("_s.west"), F.col("south"), F.col("_s.east"), F.col("north"), F.col("zoom")))
-    rows = rows.withColumn("x", F.explode(F.sequence("_r.x0", "_r.x1"))).withColumn("y", F.explode(F.sequence("_r.y0", "_r.y1")))
-    return rows.drop("_s", "_r").distinct()
+    """boxes (west, south, east, north, ...) with zoom, x, y of every tile over each: generated in place, without a join.
+
+    Repeated boxes go before they are opened, and a column that both spans of a box share within its row, so only boxes are shuffled and never tiles.
+    """
+    rows = boxes.distinct().withColumn("zoom", F.explode(F.array(*map(F.lit, dict.fromkeys(zooms)))))
+    each = F.transform(longitude_spans(F.col("west"), F.col("east")), lambda s: tile_ranges(s["west"], F.col("south"), s["east"], F.col("north"), F.col("zoom")))
+    rows = rows.withColumn("_r", F.explode(F.array(each)))
+    rows = rows.withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform("_r", lambda r: F.sequence(r["x0"], r["x1"]))))))
+    return rows.withColumn("y", F.explode(F.sequence(F.col("_r")[0]["y0"], F.col("_r")[0]["y1"]))).drop("_r")
 
 
 def tile_count(boxes: DataFrame, zooms: list[int]) -> DataFrame:

@@ -6,7 +6,10 @@ import pyarrow.parquet as pq
 import pytest
 
 from heathgrid import queries
+from heathgrid.functions import tiles
 from heathgrid.operators import fieldlog
+from heathgrid.plans import region
+from heathgrid.queries import geo
 
 
 def both(spark, folder, name, **tables):
@@ -54,3 +57,23 @@ def test_pixels_of_heights_beyond_their_bytes(spark, tmp_path):
     events = {"event_id": [*ids, 7], "value": pa.array([*(k * 3.17 for k in range(len(ids))), None], pa.float64())}
     found, want = both(spark, tmp_path, "rgb_roundtrip", events=events)
     assert found == want
+
+
+def opened_last(frame):
+    """Whether rows are opened above every aggregate, so that no aggregate holds the opened ones."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return "Generate" in plan and "Aggregate" in plan and plan.index("Aggregate") > plan.rindex("Generate")
+
+
+BOXES = "id long, west double, south double, east double, north double"
+ROUND = [(1, 170.0, -5.0, 182.0, 2.0), (1, 170.0, -5.0, 182.0, 2.0), (2, 10.0, 10.0, 22.0, 17.0), (3, -179.0, -60.0, 178.0, 60.0), (4, 5.0, -60.0, 360.0, 60.0), (4, 5.0, -60.0, 360.0, 60.0)]
+
+
+def test_tiles_are_opened_after_boxes_are_told_apart(spark):
+    boxes = spark.createDataFrame(ROUND, BOXES)
+    found = tiles.tiles_over(boxes, [2, 5, 2])
+    got = [(r.id, r.zoom, r.x, r.y) for r in found.collect()]
+    assert opened_last(found) and len(got) == len(set(got))
+    counts = {(r.id, r.zoom): r.n_tiles for r in tiles.tile_count(boxes.where("id < 4").distinct(), [2, 5]).collect()}
+    assert {k: sum(g[:2] == k for g in got) for k in counts} == counts
+    assert {g[2] for g in got if g[:2] == (4, 2)} == {0, 1, 2, 3}  # the spans from 5 to 180 and from -180 to 0 meet in column 2
