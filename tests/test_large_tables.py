@@ -77,3 +77,12 @@ def test_tiles_are_opened_after_boxes_are_told_apart(spark):
     counts = {(r.id, r.zoom): r.n_tiles for r in tiles.tile_count(boxes.where("id < 4").distinct(), [2, 5]).collect()}
     assert {k: sum(g[:2] == k for g in got) for k in counts} == counts
     assert {g[2] for g in got if g[:2] == (4, 2)} == {0, 1, 2, 3}  # the spans from 5 to 180 and from -180 to 0 meet in column 2
+
+
+def test_coverage_joins_tiles_that_no_aggregate_held(spark, tmp_path):
+    customer = {"c_custkey": [*range(1, 90), *range(80, 95)]}
+    found, want = both(spark, tmp_path, "tile_coverage", customer={"c_custkey": [*range(1, 95)]})
+    assert found == want
+    assert opened_last(geo.planned(spark, str(tmp_path)))
+    again, _ = both(spark, tmp_path, "tile_coverage", customer=customer)
+    assert again == want
