@@ -96,9 +96,11 @@ def sampled(boxes: DataFrame, zoom: int, most: int) -> DataFrame:
     """boxes (west, south, east, north, ...) with x, y of at most about `most` tiles, spread evenly; all tiles where they are no more.
 
     Each span gets its share of the budget as columns and rows in the proportions of its sides; a column or row is the
-    middle tile of an equal strip. The sample follows from the bounds alone, so it is the same every time.
+    middle tile of an equal strip. The sample follows from the bounds alone, so it is the same every time. A span has a tile once;
+    only boxes whose two spans share a column of tiles can have one twice, and theirs alone are told apart.
     """
-    rows = boxes.withColumn("its_all", spans(F.lit(zoom))).withColumn("its_total", tiles_in(F.col("its_all")))
+    rows = boxes.distinct().withColumn("its_all", spans(F.lit(zoom))).withColumn("its_total", tiles_in(F.col("its_all")))
+    rows = rows.withColumn("its_twice", F.coalesce((F.size("its_all") > 1) & (F.get("its_all", F.lit(1))["x1"] >= F.col("its_all")[0]["x0"]), F.lit(False)))
     rows = rows.withColumn("its_r", F.explode("its_all")).withColumns({"its_w": F.col("its_r.x1") - F.col("its_r.x0") + 1, "its_h": F.col("its_r.y1") - F.col("its_r.y0") + 1})
     w, h, one = F.col("its_w"), F.col("its_h"), F.lit(1).cast("long")
     rows = rows.withColumn("its_budget", F.greatest(one, half_up(F.lit(float(most)) * w * h / F.col("its_total"))))
@@ -108,4 +110,5 @@ def sampled(boxes: DataFrame, zoom: int, most: int) -> DataFrame:
     rows = rows.withColumn("its_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("its_nx") - 1))).withColumn("its_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("its_ny") - 1)))
     x = F.col("its_r.x0") + F.floor((F.col("its_i") + 0.5) * w / F.col("its_nx"))
     y = F.col("its_r.y0") + F.floor((F.col("its_j") + 0.5) * h / F.col("its_ny"))
-    return rows.select(*boxes.columns, x.alias("x"), y.alias("y")).distinct()
+    own = [*boxes.columns, x.alias("x"), y.alias("y")]
+    return rows.where(~F.col("its_twice")).select(*own).union(rows.where("its_twice").select(*own).distinct())

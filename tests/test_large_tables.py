@@ -86,3 +86,13 @@ def test_coverage_joins_tiles_that_no_aggregate_held(spark, tmp_path):
     assert opened_last(geo.planned(spark, str(tmp_path)))
     again, _ = both(spark, tmp_path, "tile_coverage", customer=customer)
     assert again == want
+
+
+def test_sampled_tiles_are_opened_after_boxes_are_told_apart(spark):
+    for zoom, most in ((2, 48), (5, 20), (22, 48)):
+        found = region.sampled(spark.createDataFrame(ROUND, BOXES), zoom, most)
+        got = [(r.id, r.x, r.y) for r in found.collect()]
+        assert len(got) == len(set(got)) and {g[0] for g in got} == {1, 2, 3, 4}
+    # the part of the plan for boxes whose spans can't meet comes first
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
