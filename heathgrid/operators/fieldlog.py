@@ -154,6 +154,7 @@ def coverage(planned: DataFrame, held: DataFrame, keys: list[str], region: str)
 
 
 def exclusive(tiles: DataFrame, keys: list[str], region: str) -> DataFrame:
-    """region and the number of its tiles that no other region has."""
-    only = tiles.select(region, *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"), F.min(region).alias(region)).where("n = 1")
+    """region and the number of its tiles that no other region has; a tile is exclusive if the least and the largest region that have it are one, so repeated rows don't count."""
+    met = tiles.groupBy(*keys).agg(F.min(region).alias(region), F.max(region).alias("_last"), F.count_if(F.col(region).isNull()).alias("_unknown"))
+    only = met.where((F.col(region) == F.col("_last")) & (F.col("_unknown") == 0))
     return tiles.select(region).distinct().join(only.groupBy(region).agg(F.count("*").alias("_n")), region, "left").select(region, F.coalesce("_n", F.lit(0)).alias("n_exclusive"))

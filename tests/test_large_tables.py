@@ -96,3 +96,10 @@ def test_sampled_tiles_are_opened_after_boxes_are_told_apart(spark):
     # the part of the plan for boxes whose spans can't meet comes first
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_exclusive_tiles_need_no_distinct_rows(spark):
+    rows = [(1, 0), (1, 0), (1, 1), (2, 1), (2, 2), (3, 1), (None, 3), (None, 4), (3, 4), (2, 5)]
+    found = fieldlog.exclusive(spark.createDataFrame(rows, "id long, x long"), ["x"], "id")
+    assert {r.id: r.n_exclusive for r in found.collect()} == {1: 1, 2: 2, 3: 0, None: 0}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
