@@ -15,6 +15,8 @@ from heathgrid.functions.num import clamp
 from heathgrid.functions.tiles import LAST_LATITUDE, tile_ranges, tile_x, tile_y
 
 FINEST = 22
+#: Pairs of points and boxes in a piece, most partitions.
+PAIRS, MOST_PARTS = 4_000_000, 10_000
 
 
 def cover_zoom(west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -44,23 +46,50 @@ def zooms_of(covered: DataFrame) -> list[int]:
     return sorted(r.zoom for r in covered.select("zoom").distinct().where("zoom is not null").collect())
 
 
+def met_in_tiles(points: DataFrame, boxes: DataFrame) -> tuple[DataFrame, int]:
+    """Each point with each box over one of its tiles that holds it, edges included; and the number of pairs looked at.
+
+    A tile's points are dealt in pieces of at most PAIRS pairs or so, each of which meets all the tile's boxes. Pieces have partitions of
+    their own: rows this small would otherwise be merged by their bytes into a task or two, whatever the pairs.
+    """
+    covered, tile = cover(boxes), ["zoom", "tx", "ty"]
+    at = filed(points, zooms_of(covered))
+    load = at.groupBy(*tile).agg(F.count("*").alias("its_n")).join(covered.groupBy(*tile).agg(F.count("*").alias("its_m")), tile).withColumn("its_pairs", F.col("its_n") * F.col("its_m"))
+    load = load.select(*tile, "its_pairs", F.ceil(F.col("its_pairs") / PAIRS).alias("its_pieces"))
+    pairs, pieces = load.agg(F.coalesce(F.sum("its_pairs"), F.lit(0)), F.coalesce(F.sum(F.col("its_pairs") / PAIRS), F.lit(0.0))).first()
+    load, n, keys = load.drop("its_pairs"), parts(pieces), [*tile, "its_piece"]
+    spread = F.xxhash64(*(c for c, kind in points.dtypes if "map<" not in kind))
+    left = at.join(load, tile).withColumn("its_piece", F.pmod(spread, F.col("its_pieces"))).drop("its_pieces").repartition(n, *keys)
+    right = covered.join(load, tile).withColumn("its_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("its_pieces") - 1))).drop("its_pieces").repartition(n, *keys)
+    held = F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    return left.join(right, keys).where(held).drop(*keys), pairs
+
+
+def parts(pieces: float) -> int:
+    """Partitions for so many pieces of PAIRS pairs: one more than those, and at most what a driver keeps track of."""
+    return min(int(pieces) + 1, MOST_PARTS)
+
+
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each point (lng, lat, ...) with each box (west, south, east, north, ...) that holds it, edges included."""
-    covered = cover(boxes)
-    met = filed(points, zooms_of(covered)).join(covered, ["zoom", "tx", "ty"])
-    return met.where(F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))).drop("zoom", "tx", "ty")
+    return met_in_tiles(points, boxes)[0]
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Each point (lng, lat, ...) with each polygon (polygon: array of rings, ...) that holds it by the even-odd rule.
 
-    Points and polygons with unknown parts, and polygons without a ring, meet nothing.
+    Points and polygons with unknown parts, and polygons without a ring, meet nothing. Points at one place share its tests
+    and are joined to what it lies in, over as many partitions as the pairs need.
     """
     own = [c for c in polygons.columns if c != "polygon"]
     ring = F.flatten("polygon")
     boxes = polygons.where(F.size("polygon") > 0).select(*own, "polygon", geometry.bounds(ring).alias("its_box"))
     boxes = boxes.select(*own, "polygon", *(F.col(f"its_box.{k}").alias(k) for k in ("west", "south", "east", "north")))
-    return in_boxes(points, boxes).where(geometry.inside(F.col("lng"), F.col("lat"), F.col("polygon"))).select(*points.columns, *own)
+    places = points.select("lng", "lat").distinct()
+    met, pairs = met_in_tiles(places, boxes)
+    found = met.where(geometry.inside(F.col("lng"), F.col("lat"), F.col("polygon"))).select("lng", "lat", *own)
+    n = parts(pairs / PAIRS * points.count() / max(1, places.count()))
+    return points.repartition(n, "lng", "lat").join(found.repartition(n, "lng", "lat"), ["lng", "lat"]).select(*points.columns, *own)
 
 
 def runs(polygons: DataFrame) -> DataFrame:

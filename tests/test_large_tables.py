@@ -7,7 +7,7 @@ import pytest
 
 from heathgrid import queries
 from heathgrid.functions import tiles
-from heathgrid.operators import fieldlog
+from heathgrid.operators import fieldlog, spatial
 from heathgrid.plans import region
 from heathgrid.queries import geo
 
@@ -103,3 +103,16 @@ def test_exclusive_tiles_need_no_distinct_rows(spark):
     found = fieldlog.exclusive(spark.createDataFrame(rows, "id long, x long"), ["x"], "id")
     assert {r.id: r.n_exclusive for r in found.collect()} == {1: 1, 2: 2, 3: 0, None: 0}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
+
+
+def test_crowded_tiles_are_dealt_in_pieces(spark, conf, monkeypatch):
+    conf(adaptive_enabled="true")
+    monkeypatch.setattr(spatial, "PAIRS", 50)
+    points = spark.range(300).selectExpr("id", "(id % 30) / 100.0 as lng", "(id % 20) / 100.0 as lat")
+    square = "array(array(named_struct('lng', {0}, 'lat', {0}), named_struct('lng', {1}, 'lat', {0}), named_struct('lng', {1}, 'lat', {1}), named_struct('lng', {0}, 'lat', {1})))"
+    polygons = spark.range(20).selectExpr("id as area", square.format("id / 200.0D - 0.001D", "id / 200.0D + 0.0555D") + " as polygon")
+    found = spatial.in_polygons(points.selectExpr("id", "cast(lng as double) lng", "cast(lat as double) lat"), polygons)
+    got = sorted((r.id, r.area) for r in found.collect())
+    low, high = [k / 200 - 0.001 for k in range(20)], [k / 200 + 0.0555 for k in range(20)]
+    assert got == sorted((k, a) for k in range(300) for a in range(20) if low[a] < k % 30 / 100 < high[a] and low[a] < k % 20 / 100 < high[a]) and len(got) > 100
+    assert found.rdd.getNumPartitions() > 20
