@@ -11,6 +11,7 @@ from heathgrid.functions import solar, wind
 from heathgrid.operators import landform, mosaic, rays, surface
 from heathgrid.operators.mosaic import InsufficientHalo
 from heathgrid.plans import predicate
+from heathgrid.shared import cut
 
 #: Reach in cells of each layer's window.
 SMALL, LARGE, VRM, RING = 3, 20, 4, 8
@@ -90,6 +91,7 @@ def analyze(cells: DataFrame, layers: set[str], cell_size: float, halo: int, win
     if want("bench", "bedding"):
         out = landform.ring_stats(out)
     if want("bench"):
+        out = cut(out)  # the groups' rounds read it, and so does the result
         found = landform.remove_small(out.withColumn("bench", landform.bench_candidate(F.col("slope"), F.col("ring_samples"), F.col("ring_steep"))).select("grid_id", "x", "y", "bench"))
         out = out.join(found, ["grid_id", "x", "y"])
     if want("hillshade"):

@@ -8,7 +8,7 @@ import pytest
 from heathgrid import queries
 from heathgrid.functions import tiles
 from heathgrid.operators import fieldlog, spatial
-from heathgrid.plans import region
+from heathgrid.plans import analyze, region
 from heathgrid.queries import geo
 
 
@@ -116,3 +116,9 @@ def test_crowded_tiles_are_dealt_in_pieces(spark, conf, monkeypatch):
     low, high = [k / 200 - 0.001 for k in range(20)], [k / 200 + 0.0555 for k in range(20)]
     assert got == sorted((k, a) for k in range(300) for a in range(20) if low[a] < k % 30 / 100 < high[a] and low[a] < k % 20 / 100 < high[a]) and len(got) > 100
     assert found.rdd.getNumPartitions() > 20
+
+
+def test_layers_with_groups_are_worked_out_once(spark):
+    cells = spark.range(47 * 47).selectExpr("'g' as grid_id", "cast(id % 47 as int) as x", "cast(id div 47 as int) as y", "500.0D + id % 47 as z")
+    found = analyze.analyze(cells, {"bench"}, 10.0, 20)
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 49
