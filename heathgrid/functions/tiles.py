@@ -60,8 +60,12 @@ def longitude_spans(west: Column, east: Column) -> Column:
     return F.when(east - west >= 359.9, F.array(span(F.lit(-180.0), F.lit(180.0)))).when(w <= e, F.array(span(w, e))).otherwise(F.array(span(w, F.lit(180.0)), span(F.lit(-180.0), e)))
 
 
-def tiles_over(boxes: DataFrame, zooms: list[int]) -> DataFrame:
-    """boxes (west, south, east, north, ...) with zoom, x, y of every tile over each: generated in place, without a join.
+#: Rows of tiles that one strip holds, as bits of a long.
+STRIP_BITS = 5
+
+
+def _columns_over(boxes: DataFrame, zooms: list[int]) -> DataFrame:
+    """boxes with zoom, x of every column of tiles over each, and _y0 and _y1, its first and last row.
 
     Repeated boxes go before they are opened, and a column that both spans of a box share within its row, so only boxes are shuffled and never tiles.
     """
@@ -69,7 +73,40 @@ def tiles_over(boxes: DataFrame, zooms: list[int]) -> DataFrame:
     each = F.transform(longitude_spans(F.col("west"), F.col("east")), lambda s: tile_ranges(s["west"], F.col("south"), s["east"], F.col("north"), F.col("zoom")))
     rows = rows.withColumn("_r", F.explode(F.array(each)))
     rows = rows.withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform("_r", lambda r: F.sequence(r["x0"], r["x1"]))))))
-    return rows.withColumn("y", F.explode(F.sequence(F.col("_r")[0]["y0"], F.col("_r")[0]["y1"]))).drop("_r")
+    return rows.withColumns({"_y0": F.col("_r")[0]["y0"], "_y1": F.col("_r")[0]["y1"]}).drop("_r")
+
+
+def tiles_over(boxes: DataFrame, zooms: list[int]) -> DataFrame:
+    """boxes (west, south, east, north, ...) with zoom, x, y of every tile over each: generated in place, without a join."""
+    return _columns_over(boxes, zooms).withColumn("y", F.explode(F.sequence("_y0", "_y1"))).drop("_y0", "_y1")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def strips_over(boxes: DataFrame, zooms: list[int]) -> DataFrame:
+    """The tiles of `tiles_over` as strips (zoom, x, strip, bits), each once a box: bit k of a strip is the tile in row 32 * strip + k of column x.
+
+    So what joins or groups tiles of many boxes moves a row a column and 32 rows instead of one a tile.
+    """
+    rows = _columns_over(boxes, zooms).withColumns({"_y0": F.least("_y0", "_y1"), "_y1": F.greatest("_y0", "_y1")})
+    rows = rows.withColumn("strip", F.explode(F.sequence(F.shiftright("_y0", STRIP_BITS), F.shiftright("_y1", STRIP_BITS))))
+    top, last = F.shiftleft("strip", STRIP_BITS), F.lit((1 << STRIP_BITS) - 1).cast("long")
+    low, high = F.greatest(F.col("_y0") - top, F.lit(0).cast("long")), F.least(F.col("_y1") - top, last)
+    return rows.withColumn("bits", _bit(high + 1) - _bit(low)).drop("_y0", "_y1")
+
+
+def strips_of(tiles: DataFrame) -> DataFrame:
+    """zoom, x, strip and bits of tiles (zoom, x, y), each strip once."""
+    return tiles.groupBy("zoom", "x", F.shiftright("y", STRIP_BITS).alias("strip")).agg(F.bit_or(_bit(F.col("y") % (1 << STRIP_BITS))).alias("bits"))
+
+
+def tiles_of(strips: DataFrame) -> DataFrame:
+    """Every tile (zoom, x, y) of strips once, whatever boxes they are of."""
+    each = strips.groupBy("zoom", "x", "strip").agg(F.bit_or("bits").alias("bits"))
+    places = F.filter(F.sequence(F.lit(0), F.lit((1 << STRIP_BITS) - 1)), lambda k: F.getbit("bits", k) == 1)
+    return each.withColumn("_k", F.explode(places)).select("zoom", "x", (F.shiftleft("strip", STRIP_BITS) + F.col("_k")).alias("y"))
 
 
 def tile_count(boxes: DataFrame, zooms: list[int]) -> DataFrame:

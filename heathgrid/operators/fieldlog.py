@@ -146,10 +146,17 @@ def missing(planned: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     return planned.join(held, keys, "left_anti")
 
 
-def coverage(planned: DataFrame, held: DataFrame, keys: list[str], region: str) -> DataFrame:
-    """region, planned, held and verdict: covered, partial or empty."""
-    there = held.select(*keys).distinct().withColumn("_h", F.lit(1))
-    counts = planned.join(there, keys, "left").groupBy(region).agg(F.count("*").alias("planned"), F.count("_h").alias("held"))
+def coverage(planned: DataFrame, held: DataFrame, keys: list[str], region: str, bits: str | None = None) -> DataFrame:
+    """region, planned, held and verdict: covered, partial or empty.
+
+    Rows are tiles, or, where bits names a column, sets of tiles under one key as its bits; a region has a key once.
+    Tiles of many regions make more rows than anything else here, so sets keep down what the join sorts and the counts hold.
+    """
+    tiles = F.lit(1).cast("long") if bits is None else F.col(bits)
+    there = held.groupBy(*keys).agg(F.bit_or(tiles).alias("_h"))
+    met = planned.select(region, *keys, F.bit_count(tiles).alias("_n"), tiles.alias("_p")).join(there, keys, "left")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = met.groupBy(region).agg(n("_n").alias("planned"), n(F.bit_count(F.col("_p").bitwiseAND(F.col("_h")))).alias("held"))
     return counts.withColumn("verdict", F.when(F.col("held") == 0, "empty").when(F.col("held") == F.col("planned"), "covered").otherwise("partial"))
 
 

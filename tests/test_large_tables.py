@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from heathgrid import queries
 from heathgrid.functions import tiles
@@ -88,6 +89,43 @@ def test_coverage_joins_tiles_that_no_aggregate_held(spark, tmp_path):
     assert again == want
 
 
+def test_coverage_joins_strips_instead_of_tiles(spark, tmp_path, conf, monkeypatch):
+    conf(autoBroadcastJoinThreshold="-1")
+    joined = []
+    real = fieldlog.coverage
+    monkeypatch.setattr(fieldlog, "coverage", lambda planned, *rest: joined.append(planned) or real(planned, *rest))
+    found, want = both(spark, tmp_path, "tile_coverage", customer={"c_custkey": [*range(1, 95), 5_399_999, 5_400_000]})
+    assert found == want
+    assert joined[0].count() * 3 < sum(row[1] for row in found)
+
+
+def test_strips_hold_the_tiles_over_boxes(spark):
+    boxes = spark.createDataFrame([*ROUND, (5, 0.0, 84.0, 1.0, 89.0), (6, -3.0, -1.0, -2.0, 1.0)], BOXES)
+    strips = tiles.strips_over(boxes, [0, 2, 5, 9])
+    of_box = {}
+    for r in strips.collect():
+        assert (r.id, r.zoom, r.x, r.strip) not in of_box and r.bits > 0
+        of_box[r.id, r.zoom, r.x, r.strip] = r.bits
+    got = {(i, z, x, 32 * s + k) for (i, z, x, s), bits in of_box.items() for k in range(32) if bits >> k & 1}
+    opened = tiles.tiles_over(boxes, [0, 2, 5, 9])
+    assert got == {(r.id, r.zoom, r.x, r.y) for r in opened.collect()} and len({g[3] // 32 for g in got if g[:2] == (3, 9)}) > 2
+    assert sum(bits.bit_count() for bits in of_box.values()) == len(got)
+    each = [(r.zoom, r.x, r.y) for r in tiles.tiles_of(strips).collect()]
+    assert len(each) == len(set(each)) and set(each) == {g[1:] for g in got}
+    again = tiles.tiles_of(tiles.strips_of(opened)).collect()
+    assert {(r.zoom, r.x, r.y) for r in again} == set(each)
+
+
+def test_coverage_of_tiles_and_of_sets_agree(spark):
+    planned = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 2), (3, 3), (None, 0)], "id long, x long")
+    held = spark.createDataFrame([(0,), (1,), (1,), (7,)], "x long")
+    want = {1: (2, 2, "covered"), 2: (2, 1, "partial"), 3: (1, 0, "empty"), None: (1, 1, "covered")}
+    rows = lambda found: {r.id: (r.planned, r.held, r.verdict) for r in found.collect()}
+    assert rows(fieldlog.coverage(planned, held, ["x"], "id")) == want
+    sets = lambda f, *by: f.groupBy(*by, (f.x % 2).alias("odd")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), f.x.cast("int"))).alias("b"))
+    assert rows(fieldlog.coverage(sets(planned, "id"), sets(held), ["odd"], "id", "b")) == want
+
+
 def test_sampled_tiles_are_opened_after_boxes_are_told_apart(spark):
     for zoom, most in ((2, 48), (5, 20), (22, 48)):
         found = region.sampled(spark.createDataFrame(ROUND, BOXES), zoom, most)
