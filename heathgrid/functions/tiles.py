@@ -102,11 +102,15 @@ def strips_of(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("zoom", "x", F.shiftright("y", STRIP_BITS).alias("strip")).agg(F.bit_or(_bit(F.col("y") % (1 << STRIP_BITS))).alias("bits"))
 
 
+def opened(strips: DataFrame) -> DataFrame:
+    """Strips with y of every tile instead of strip and bits, in place."""
+    places = F.filter(F.sequence(F.lit(0), F.lit((1 << STRIP_BITS) - 1)), lambda k: F.getbit("bits", k) == 1)
+    return strips.withColumn("_k", F.explode(places)).withColumn("y", F.shiftleft("strip", STRIP_BITS) + F.col("_k")).drop("strip", "bits", "_k")
+
+
 def tiles_of(strips: DataFrame) -> DataFrame:
     """Every tile (zoom, x, y) of strips once, whatever boxes they are of."""
-    each = strips.groupBy("zoom", "x", "strip").agg(F.bit_or("bits").alias("bits"))
-    places = F.filter(F.sequence(F.lit(0), F.lit((1 << STRIP_BITS) - 1)), lambda k: F.getbit("bits", k) == 1)
-    return each.withColumn("_k", F.explode(places)).select("zoom", "x", (F.shiftleft("strip", STRIP_BITS) + F.col("_k")).alias("y"))
+    return opened(strips.groupBy("zoom", "x", "strip").agg(F.bit_or("bits").alias("bits")))
 
 
 def tile_count(boxes: DataFrame, zooms: list[int]) -> DataFrame:

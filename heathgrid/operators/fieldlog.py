@@ -141,9 +141,13 @@ def first_known(layers: DataFrame, keys: list[str], value: str = "z", order: str
     return layers.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
 
 
-def missing(planned: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    """Planned tiles that aren't held."""
-    return planned.join(held, keys, "left_anti")
+def missing(planned: DataFrame, held: DataFrame, keys: list[str], bits: str | None = None) -> DataFrame:
+    """Planned tiles that aren't held; where bits names a column, rows are sets of tiles as in `coverage`, and keep the bits that aren't held."""
+    if bits is None:
+        return planned.join(held, keys, "left_anti")
+    there = held.groupBy(*keys).agg(F.bit_or(bits).alias("_h"))
+    rest = F.col(bits).bitwiseAND(F.bitwise_not(F.coalesce("_h", F.lit(0).cast("long"))))
+    return planned.join(there, keys, "left").withColumn(bits, rest).where(F.col(bits) != 0).drop("_h")
 
 
 def coverage(planned: DataFrame, held: DataFrame, keys: list[str], region: str, bits: str | None = None) -> DataFrame:

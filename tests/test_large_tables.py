@@ -116,6 +116,18 @@ def test_strips_hold_the_tiles_over_boxes(spark):
     assert {(r.zoom, r.x, r.y) for r in again} == set(each)
 
 
+def test_missing_tiles_are_found_by_strips(spark, tmp_path, conf, monkeypatch):
+    conf(autoBroadcastJoinThreshold="-1")
+    joined = []
+    real = fieldlog.missing
+    monkeypatch.setattr(fieldlog, "missing", lambda planned, *rest: joined.append(planned) or real(planned, *rest))
+    keys = {"c_custkey": [*range(1, 40), 5_399_999, 5_400_000]}
+    found, want = both(spark, tmp_path, "tile_anti_join", customer=keys)
+    assert found == want and len(found) > 100
+    every, _ = both(spark, tmp_path, "tiles_for_bbox", customer=keys)
+    assert joined[0].count() * 3 < len(every)
+
+
 def test_coverage_of_tiles_and_of_sets_agree(spark):
     planned = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 2), (3, 3), (None, 0)], "id long, x long")
     held = spark.createDataFrame([(0,), (1,), (1,), (7,)], "x long")
